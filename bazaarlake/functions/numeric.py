@@ -13,6 +13,15 @@ def as_double(column: Column, digits: int | None = None) -> Column:
     return (column if digits is None else F.round(column, digits)).cast("double")
 
 
+def rounded(column: Column, digits: int) -> Column:
+    """Round a double half away from zero, as a double.
+
+    Through a decimal, so that noise in the last binary digits cannot push an
+    exact tie to the wrong side.
+    """
+    return F.round(column.cast("decimal(38,12)"), digits).cast("double")
+
+
 def money_total(column: Column) -> Column:
     """Sum of money with 0 for no rows, at 2 decimals."""
     return as_double(F.coalesce(F.sum(column), F.lit(0)), 2)
@@ -24,13 +33,13 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def rounded_ratio(numerator: Column, denominator: Column, digits: int) -> Column:
-    return F.round(ratio(numerator, denominator), digits)
+    return rounded(ratio(numerator, denominator), digits)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """Share in percent, 0 for an empty whole."""
     share = part.cast("double") * F.lit(100.0) / whole.cast("double")
-    return F.round(F.when(whole == 0, F.lit(0.0)).otherwise(share), digits)
+    return rounded(F.when(whole == 0, F.lit(0.0)).otherwise(share), digits)
 
 
 def or_zero(column: Column) -> Column:

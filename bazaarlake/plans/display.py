@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.bands import falling_band, rising_band
-from bazaarlake.functions.numeric import rounded_ratio
+from bazaarlake.functions.numeric import rounded, rounded_ratio
 from bazaarlake.operators.filters import NO_FILTER, SalesFilter
 from bazaarlake.plans.sales import sales_map, sales_seller_leaderboard, sales_summary
 from bazaarlake.plans.warehouse import Warehouse
@@ -38,7 +38,7 @@ def map_layer(
     )
     return bubbles.join(places, "city", "left").select(
         *bubbles.columns,
-        F.round(F.least(radius, F.lit(LARGEST_RADIUS)), 6).alias("bubble_radius"),
+        rounded(F.least(radius, F.lit(LARGEST_RADIUS)), 6).alias("bubble_radius"),
         falling_band(F.col("avg_review_score"), 4, 3).alias("review_color"),
         "latitude",
         "longitude",

@@ -12,6 +12,7 @@ from bazaarlake.functions.numeric import (
     clamp01,
     months_between_keys,
     or_zero,
+    rounded,
     rounded_ratio,
 )
 from bazaarlake.plans.grain import per_order
@@ -29,7 +30,7 @@ def seller_scores(wh: Warehouse, compat: bool = True) -> DataFrame:
     review = F.lit(REVIEW_WEIGHT) * (or_zero(F.col("avg_review_score")) / BEST_REVIEW)
     kept = F.lit(CANCEL_WEIGHT) * (1 - or_zero(F.col("cancellation_rate")))
     growth = F.lit(GROWTH_WEIGHT) * clamp01((or_zero(F.col("revenue_growth_rate")) + 1) / 2)
-    score = F.round(F.lit(100.0) * (on_time + review + kept + growth), 2)
+    score = rounded(F.lit(100.0) * (on_time + review + kept + growth), 2)
     return base.withColumn("performance_score", score).withColumn(
         "risk_tier", risk_tier(F.col("performance_score"))
     )
@@ -131,8 +132,8 @@ def delivery_lanes(wh: Warehouse, compat: bool = True) -> DataFrame:
             "origin_zip",
             "destination_zip",
             "orders",
-            F.round(days, 2).alias("avg_delivery_days"),
+            rounded(days, 2).alias("avg_delivery_days"),
             rounded_ratio(F.col("late"), orders, 4).alias("late_delivery_rate"),
-            F.round(distance, 2).alias("avg_distance_km"),
+            rounded(distance, 2).alias("avg_distance_km"),
         )
     )

@@ -9,6 +9,7 @@ from bazaarlake.functions.numeric import (
     as_double,
     money_total,
     months_between_keys,
+    rounded,
     rounded_ratio,
 )
 from bazaarlake.operators.filters import bounded
@@ -208,7 +209,7 @@ def ingest_impact(before: Warehouse, after: Warehouse, compat: bool = True) -> D
         ]
         return summary.select(F.inline(F.array(*pairs)))
 
-    change = F.round(F.col("after") - F.col("before"), 4)
+    change = rounded(F.col("after") - F.col("before"), 4)
     return (
         figures(before, "before")
         .join(figures(after, "after"), "measure")

@@ -16,6 +16,7 @@ from bazaarlake.functions.numeric import (
     or_zero,
     percent,
     ratio,
+    rounded,
 )
 from bazaarlake.operators.filters import NO_FILTER, SalesFilter, bounded
 from bazaarlake.plans.grain import (
@@ -34,7 +35,7 @@ from bazaarlake.plans.warehouse import Warehouse
 
 
 def _score() -> Column:
-    return F.round(or_zero(mean_score()), 2)
+    return rounded(or_zero(mean_score()), 2)
 
 
 def _known(condition: Column) -> Column:
@@ -74,7 +75,7 @@ def sales_summary(
         money_total(weighted("gmv")).alias("total_gmv"),
         F.count(F.when(delivered, 1)).alias("delivered_orders"),
         F.count_distinct(F.when(delivered, F.col("customer_id"))).alias("active_customers"),
-        F.round(or_zero(ratio(gmv, sales_units)), 2).alias("avg_order_value"),
+        rounded(or_zero(ratio(gmv, sales_units)), 2).alias("avg_order_value"),
         _score().alias("avg_review_score"),
         _late_share().alias("late_delivery_rate"),
     )
@@ -283,7 +284,7 @@ def sales_seller_leaderboard(
             money_total(weighted("gmv")).alias("total_gmv"),
             _score().alias("avg_review_score"),
             _late_share().alias("late_delivery_pct"),
-            F.round(or_zero(days), 2).alias("avg_delivery_days"),
+            rounded(or_zero(days), 2).alias("avg_delivery_days"),
         )
         .filter(F.col("delivered_orders") > 0)
     )

@@ -10,6 +10,7 @@ from bazaarlake.functions.numeric import (
     as_double,
     or_zero,
     ratio,
+    rounded,
     rounded_ratio,
 )
 from bazaarlake.plans.grain import CATEGORY, mean_score, per_order, weighted, with_reviews
@@ -41,7 +42,7 @@ def revenue_by_category(wh: Warehouse, compat: bool = True) -> DataFrame:
             as_double(F.sum(weighted("price")), 2).alias("merchandise_revenue"),
             as_double(F.sum(weighted("freight")), 2).alias("freight_revenue"),
             as_double(F.sum(weighted("gmv")), 2).alias("gmv"),
-            F.round(mean_score(), 2).alias("avg_review_score"),
+            rounded(mean_score(), 2).alias("avg_review_score"),
             rounded_ratio(
                 F.sum(rows * late), F.sum(F.when(late.isNotNull(), rows)), 4
             ).alias("late_delivery_rate"),
@@ -60,7 +61,7 @@ def delivery_sla_by_state(wh: Warehouse) -> DataFrame:
         orders.groupBy("seller_state", "customer_state")
         .agg(
             F.count("order_id").alias("orders"),
-            F.round(
+            rounded(
                 mean_days(F.sum(items * seconds), F.sum(F.when(seconds.isNotNull(), items))), 2
             ).alias("avg_delivery_days"),
             rounded_ratio(F.sum(items * F.col("is_late_delivery")), F.sum(items), 4).alias(
@@ -106,9 +107,9 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
         (gmv * repeats if compat else gmv).alias("_gmv"),
         gmv.alias("_plain_gmv"),
         rounded_ratio(F.sum("on_time"), F.sum("delivered"), 4).alias("on_time_delivery_rate"),
-        F.round(or_zero(mean_score()), 2).alias("avg_review_score"),
+        rounded(or_zero(mean_score()), 2).alias("avg_review_score"),
         rounded_ratio(F.sum("canceled"), F.sum("items"), 4).alias("cancellation_rate"),
-        F.round(growth, 4).alias("revenue_growth_rate"),
+        rounded(growth, 4).alias("revenue_growth_rate"),
     )
     places = wh.table("stg_sellers").select("seller_id", "seller_city", "seller_state")
     return sellers.join(places, "seller_id", "left").select(
