@@ -37,14 +37,14 @@ class Warehouse:
         stored: Mapping[str, Callable[[], DataFrame]] | None = None,
         skew: SkewProfile | None = None,
     ):
-        self.raw = dict(raw or {})
+        self.raw = {} if raw is None else raw
         self.stored = dict(stored or {})
         self.skew = skew or SkewProfile()
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, folder: str) -> "Warehouse":
-        return cls(raw=TpchSource(spark, folder).all())
+        return cls(raw=TpchSource(spark, folder))
 
     # -- skew ---------------------------------------------------------------
 
@@ -69,6 +69,11 @@ class Warehouse:
                 self._tables[name] = getattr(self, f"_{name}")()
         return self._tables[name]
 
+    def keep(self, name: str, reader: Callable[[], DataFrame]) -> None:
+        """Read a table from storage from now on, also inside other tables."""
+        self.stored[name] = reader
+        self._tables.clear()
+
     def _stg_customers(self) -> DataFrame:
         return staging.stg_customers(self.raw["customers"])
 

@@ -6,6 +6,9 @@ grows with them. Values arrive typed; staging leaves typed values alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +56,28 @@ def _null(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-class TpchSource:
-    """``raw(dataset)`` for each of the nine datasets of one table folder."""
+class TpchSource(Mapping):
+    """The nine datasets of one table folder, each planned when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read = lru_cache(self._scan)
+        self._planned: dict[str, DataFrame] = {}
+
+    def __getitem__(self, dataset: str) -> DataFrame:
+        if dataset not in self._planned:
+            rows = getattr(self, f"_{dataset}")()
+            self._planned[dataset] = rows.select(*COLUMNS[dataset], INGEST_SEQ)
+        return self._planned[dataset]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(COLUMNS)
 
-    def _read(self, table: str) -> DataFrame:
+    def __len__(self) -> int:
+        return len(COLUMNS)
+
+    def _scan(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     def _placed(self, table: str, nation_key: str) -> DataFrame:
@@ -68,13 +85,6 @@ class TpchSource:
         placed = self._read(table).join(nation, F.col(nation_key) == nation["n_nationkey"])
         return placed.join(region, F.col("n_regionkey") == region["r_regionkey"])
 
-    def raw(self, dataset: str) -> DataFrame:
-        builder = getattr(self, f"_{dataset}")
-        return builder().select(*COLUMNS[dataset], INGEST_SEQ)
-
-    def all(self) -> dict[str, DataFrame]:
-        return {dataset: self.raw(dataset) for dataset in COLUMNS}
-
     def _customers(self) -> DataFrame:
         buyers = self._placed("customer", "c_nationkey")
         orders = self._read("orders").select("o_orderkey", "o_custkey")
