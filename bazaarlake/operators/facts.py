@@ -103,7 +103,7 @@ def order_heads(core: DataFrame, customers: DataFrame, hot_customer: HotKeys) ->
         "customer_zip_code_prefix",
         F.lit(True).alias("customer_known"),
     )
-    heads = skew_join(core, buyers, "customer_id", hot_customer)
+    heads = skew_join(core, buyers, "customer_id", hot_customer, order_sized=True)
     return heads.select(*core.columns, *BUYER_COLUMNS)
 
 
@@ -111,7 +111,7 @@ def order_lines(items: DataFrame, heads: DataFrame, hot_order: HotKeys) -> DataF
     """Items with their order's columns; ``heads`` may be core or heads."""
     carried = [c for c in LINE_ORDER_COLUMNS + BUYER_COLUMNS if c in heads.columns]
     head = heads.select("order_id", *carried, F.lit(True).alias("order_known"))
-    lines = skew_join(items, head, "order_id", hot_order)
+    lines = skew_join(items, head, "order_id", hot_order, order_sized=True)
     gmv = (F.col("price") + F.col("freight_value")).cast(MONEY)
     return lines.select(*items.columns, gmv.alias("item_gmv"), *carried, "order_known")
 

@@ -85,17 +85,22 @@ def skew_join(
     key: str,
     hot: HotKeys,
     how: str = "left",
+    order_sized: bool = False,
 ) -> DataFrame:
     """Join ``left`` (the big side) to a lookup, salting the hot keys of ``left``.
 
     Rows of a hot key are spread over ``hot.salts`` tasks, by their number from
     the scan (``ROW``) if they have one, else by a hash of the row; only the
     lookup rows of hot keys are copied.
+
+    ``order_sized`` says that the lookup grows with the orders. It is then
+    merge-joined at any size: broadcasting it could only work on small data,
+    and the grouping per order that follows reuses the shuffle.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge") if order_sized else right, key, how)
     is_hot = F.col(key).isin(list(hot.values)) if hot.values else F.lit(False)
     spread = F.coalesce(is_hot, F.lit(hot.null))
     number = F.col(ROW) if ROW in left.columns else F.xxhash64(*left.columns)
@@ -103,6 +108,7 @@ def skew_join(
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(F.array(F.lit(0)))
     salted = left.withColumn("_salt", F.when(spread, salt.cast("int")).otherwise(F.lit(0)))
     lookup = right.withColumn("_salt", F.explode(copies))
+    lookup = lookup.hint("merge") if order_sized else lookup
     return salted.join(lookup, [key, "_salt"], how).drop("_salt")
 
 

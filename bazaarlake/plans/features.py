@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.bands import rfm_segment, risk_tier
 from bazaarlake.functions.geo import haversine_km
 from bazaarlake.functions.numeric import (
-    as_double,
     clamp01,
+    money,
     months_between_keys,
     or_zero,
     rounded,
@@ -47,7 +47,7 @@ def customer_rfm(wh: Warehouse) -> DataFrame:
     people = orders.groupBy("customer_unique_id").agg(
         F.max("purchase_date").alias("last_purchase"),
         F.count("order_id").alias("frequency"),
-        or_zero(as_double(F.sum("gmv"), 2)).alias("monetary"),
+        or_zero(money(F.sum("gmv"))).alias("monetary"),
     )
     today = wh.orders().agg(F.max("purchase_date").alias("analysis_date"))
     recency = F.date_diff("analysis_date", "last_purchase")

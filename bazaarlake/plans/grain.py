@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.functions.numeric import or_zero
+from bazaarlake.functions.numeric import cents, or_zero
 from bazaarlake.operators.filters import SalesFilter
 from bazaarlake.plans.warehouse import Warehouse
 
@@ -54,12 +54,12 @@ def filtered_lines(
 
 
 def per_order(lines: DataFrame, *keys: str) -> DataFrame:
-    """Line sums per order and ``keys``."""
+    """Line sums per order and ``keys``, money in cents."""
     return lines.groupBy("order_id", *keys).agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight"),
-        F.sum("item_gmv").alias("gmv"),
+        F.sum(cents("price")).alias("price"),
+        F.sum(cents("freight_value")).alias("freight"),
+        F.sum(cents("item_gmv")).alias("gmv"),
     )
 
 
@@ -89,7 +89,8 @@ def with_reviews(
     A ``score`` condition keeps only orders having a review with that score.
     ``known_orders_only`` leaves lines without an order unreviewed.
     """
-    joined = df.join(review_stats(wh, score), "order_id", "inner" if score else "left")
+    stats = review_stats(wh, score).hint("merge")
+    joined = df.join(stats, "order_id", "inner" if score else "left")
     if known_orders_only and score:
         joined = joined.filter("order_known")
     elif known_orders_only:
@@ -97,12 +98,12 @@ def with_reviews(
             joined = joined.withColumn(name, F.when(F.col("order_known"), F.col(name)))
     items = F.col("items")
     if compat:
-        weight = F.coalesce("reviews", F.lit(1)).cast("decimal(10,0)")
+        weight = F.coalesce("reviews", F.lit(1))
         score_sum = items * or_zero(F.col("score_sum"))
         score_rows = items * or_zero(F.col("scores"))
     else:
         scored = F.col("scores") > 0
-        weight = F.lit(1).cast("decimal(10,0)")
+        weight = F.lit(1)
         score_sum = F.when(scored, items * (F.col("score_sum") / F.col("scores"))).otherwise(0.0)
         score_rows = F.when(scored, items).otherwise(0)
     return joined.select(
@@ -118,7 +119,7 @@ def paid_with(df: DataFrame, wh: Warehouse, payment_type: str | None) -> DataFra
     if not payment_type:
         return df
     payments = wh.table("fct_payments").filter(F.col("payment_type") == payment_type)
-    return df.join(payments.select("order_id").distinct(), "order_id", "left_semi")
+    return df.join(payments.select("order_id").hint("merge"), "order_id", "left_semi")
 
 
 def reviewed_with(df: DataFrame, wh: Warehouse, score: int | None) -> DataFrame:
@@ -126,7 +127,7 @@ def reviewed_with(df: DataFrame, wh: Warehouse, score: int | None) -> DataFrame:
     if not score:
         return df
     reviews = wh.table("stg_reviews").filter(F.col("review_score") == score)
-    return df.join(reviews.select("order_id").distinct(), "order_id", "left_semi")
+    return df.join(reviews.select("order_id").hint("merge"), "order_id", "left_semi")
 
 
 def weighted(name: str) -> Column:

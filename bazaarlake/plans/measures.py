@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
-    as_double,
+    cents,
+    money,
     money_total,
     months_between_keys,
     rounded,
@@ -21,12 +22,12 @@ from bazaarlake.plans.warehouse import Warehouse
 
 
 def _gmv() -> Column:
-    return money_total(F.col("item_gmv")).alias("gmv")
+    return money_total(cents("item_gmv")).alias("gmv")
 
 
 def measures(wh: Warehouse) -> DataFrame:
     items = wh.lines()
-    gmv = items.agg(money_total(F.col("item_gmv")).alias("total_gmv"))
+    gmv = items.agg(money_total(cents("item_gmv")).alias("total_gmv"))
     sellers = (
         wh.table("stg_order_items")
         .select("seller_id")
@@ -84,7 +85,7 @@ def monthly_gmv_growth(wh: Warehouse) -> DataFrame:
         wh.lines()
         .filter("purchase_month IS NOT NULL")
         .groupBy(F.col("purchase_month").alias("month"))
-        .agg(F.sum("item_gmv").alias("total"))
+        .agg(F.sum(cents("item_gmv")).alias("total"))
     )
     # One row per calendar month, so one task sorts a few hundred rows at most.
     by_month = Window.orderBy("month")
@@ -95,8 +96,8 @@ def monthly_gmv_growth(wh: Warehouse) -> DataFrame:
         months.withColumn("prior", prior)
         .select(
             "month",
-            as_double(F.col("total"), 2).alias("gmv"),
-            as_double(F.col("prior"), 2).alias("prior_month_gmv"),
+            money(F.col("total")).alias("gmv"),
+            money(F.col("prior")).alias("prior_month_gmv"),
             growth.alias("growth_pct"),
         )
         .orderBy("month")
@@ -156,10 +157,10 @@ def cohort_heatmap(wh: Warehouse) -> DataFrame:
 
 
 def rfm_distribution(rfm: DataFrame) -> DataFrame:
-    # Money back to decimals, so that the total does not depend on row order.
-    spend = F.sum(F.col("monetary").cast("decimal(28,2)"))
+    # Money back to cents, so that the total does not depend on row order.
+    spend = F.sum(F.round(F.col("monetary") * 100).cast("bigint"))
     return rfm.groupBy("rfm_segment").agg(
-        F.count(F.lit(1)).alias("customers"), as_double(spend, 2).alias("monetary")
+        F.count(F.lit(1)).alias("customers"), money(spend).alias("monetary")
     )
 
 
@@ -167,7 +168,7 @@ def monetary_by_state_category(wh: Warehouse) -> DataFrame:
     """Delivered sales by buyer's state and category."""
     lines = wh.lines(buyer=True, category=True).filter(F.col("order_status") == DELIVERED)
     return lines.groupBy("customer_state", known_category().alias("category")).agg(
-        money_total(F.col("item_gmv")).alias("monetary")
+        money_total(cents("item_gmv")).alias("monetary")
     )
 
 
@@ -176,12 +177,12 @@ def _momentum(wh: Warehouse, lines: DataFrame, key: Column, name: str) -> DataFr
     latest = wh.orders().agg(F.max("purchase_month").alias("latest"))
     age = months_between_keys(F.col("purchase_month"), F.col("latest"))
     recent = lines.crossJoin(F.broadcast(latest)).filter(age <= 1)
-    now = F.sum(F.when(age == 0, F.col("item_gmv")).otherwise(0))
-    before = F.sum(F.when(age == 1, F.col("item_gmv")).otherwise(0))
+    now = F.sum(F.when(age == 0, cents("item_gmv")).otherwise(0))
+    before = F.sum(F.when(age == 1, cents("item_gmv")).otherwise(0))
     return recent.groupBy(key.alias(name)).agg(
-        as_double(now, 2).alias("latest_gmv"),
-        as_double(before, 2).alias("previous_gmv"),
-        as_double(now - before, 2).alias("gmv_change"),
+        money(now).alias("latest_gmv"),
+        money(before).alias("previous_gmv"),
+        money(now - before).alias("gmv_change"),
         rounded_ratio((now - before) * 100, before, 2).alias("change_pct"),
     )
 

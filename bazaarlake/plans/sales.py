@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
-    as_double,
+    cents,
     money_total,
     or_zero,
     percent,
@@ -75,7 +75,7 @@ def sales_summary(
         money_total(weighted("gmv")).alias("total_gmv"),
         F.count(F.when(delivered, 1)).alias("delivered_orders"),
         F.count_distinct(F.when(delivered, F.col("customer_id"))).alias("active_customers"),
-        rounded(or_zero(ratio(gmv, sales_units)), 2).alias("avg_order_value"),
+        rounded(or_zero(ratio(gmv, sales_units * 100)), 2).alias("avg_order_value"),
         _score().alias("avg_review_score"),
         _late_share().alias("late_delivery_rate"),
     )
@@ -182,8 +182,8 @@ def _plain_sales(wh: Warehouse, flt: SalesFilter, lines: DataFrame, *keys: str)
     if flt.payment_type or flt.review_score:
         lines = per_order(lines, *keys)
         lines = reviewed_with(paid_with(lines, wh, flt.payment_type), wh, flt.review_score)
-        lines = lines.withColumnRenamed("gmv", "item_gmv")
-    return lines.groupBy(*keys).agg(money_total(F.col("item_gmv")).alias("gmv"))
+        return lines.groupBy(*keys).agg(money_total(F.col("gmv")).alias("gmv"))
+    return lines.groupBy(*keys).agg(money_total(cents("item_gmv")).alias("gmv"))
 
 
 def sales_trend(wh: Warehouse, flt: SalesFilter = NO_FILTER, compat: bool = True) -> DataFrame:
@@ -201,19 +201,20 @@ def _payment_totals(wh: Warehouse, flt: SalesFilter, compat: bool) -> DataFrame:
     if flt.payment_type:
         payments = payments.filter(F.col("payment_type") == flt.payment_type)
     totals = payments.groupBy("order_id", "payment_type").agg(
-        F.count(F.lit(1)).alias("payments"), F.sum("payment_value").alias("value")
+        F.count(F.lit(1)).alias("payments"), F.sum(cents("payment_value")).alias("value")
     )
     conditions = flt.order_conditions()
     if not compat:
         if conditions:
             totals = totals.join(
-                filtered_orders(wh, flt).select("order_id"), "order_id", "left_semi"
+                filtered_orders(wh, flt).select("order_id").hint("merge"), "order_id", "left_semi"
             )
         if flt.on_items:
             matching = filtered_lines(wh, SalesFilter(
                 seller_state=flt.seller_state, product_category=flt.product_category
             ))
-            totals = totals.join(matching.select("order_id").distinct(), "order_id", "left_semi")
+            matching = matching.select("order_id").distinct().hint("merge")
+            totals = totals.join(matching, "order_id", "left_semi")
         totals = reviewed_with(totals, wh, flt.review_score)
         times = F.lit(1)
     else:
@@ -231,15 +232,15 @@ def _payment_totals(wh: Warehouse, flt: SalesFilter, compat: bool) -> DataFrame:
             reviews = reviews.filter(F.col("review_score") == flt.review_score)
         reviews = reviews.groupBy("order_id").agg(F.count(F.lit(1)).alias("reviews"))
         totals = (
-            totals.join(orders, "order_id", "inner" if needs_order else "left")
-            .join(lines, "order_id", "inner" if flt.on_items else "left")
-            .join(reviews, "order_id", "inner" if flt.review_score else "left")
+            totals.join(orders.hint("merge"), "order_id", "inner" if needs_order else "left")
+            .join(lines.hint("merge"), "order_id", "inner" if flt.on_items else "left")
+            .join(reviews.hint("merge"), "order_id", "inner" if flt.review_score else "left")
         )
         repeats = F.coalesce("lines", F.lit(1)) * F.coalesce("reviews", F.lit(1))
         times = F.when(F.col("known"), repeats).otherwise(1)
     return totals.groupBy("payment_type").agg(
         F.sum(F.col("payments") * times).alias("total"),
-        money_total(F.col("value") * times.cast("decimal(10,0)")).alias("total_value"),
+        money_total(F.col("value") * times).alias("total_value"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
     SECONDS_PER_DAY,
-    as_double,
+    money,
     or_zero,
     ratio,
     rounded,
@@ -38,10 +38,10 @@ def revenue_by_category(wh: Warehouse, compat: bool = True) -> DataFrame:
         orders.groupBy("category")
         .agg(
             F.count("order_id").alias("orders"),
-            F.sum(rows).cast("bigint").alias("items_sold"),
-            as_double(F.sum(weighted("price")), 2).alias("merchandise_revenue"),
-            as_double(F.sum(weighted("freight")), 2).alias("freight_revenue"),
-            as_double(F.sum(weighted("gmv")), 2).alias("gmv"),
+            F.sum(rows).alias("items_sold"),
+            money(F.sum(weighted("price"))).alias("merchandise_revenue"),
+            money(F.sum(weighted("freight"))).alias("freight_revenue"),
+            money(F.sum(weighted("gmv"))).alias("gmv"),
             rounded(mean_score(), 2).alias("avg_review_score"),
             rounded_ratio(
                 F.sum(rows * late), F.sum(F.when(late.isNotNull(), rows)), 4
@@ -67,7 +67,7 @@ def delivery_sla_by_state(wh: Warehouse) -> DataFrame:
             rounded_ratio(F.sum(items * F.col("is_late_delivery")), F.sum(items), 4).alias(
                 "late_delivery_rate"
             ),
-            as_double(F.sum("gmv"), 2).alias("gmv"),
+            money(F.sum("gmv")).alias("gmv"),
         )
         .orderBy(F.desc("late_delivery_rate"), F.desc("orders"), "seller_state", "customer_state")
     )
@@ -98,7 +98,7 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
     month = F.coalesce("purchase_month", F.lit(""))
     first, latest = F.min_by("gmv", month), F.max_by("gmv", month)
     growth = F.when(first > 0, ratio(latest - first, first)).otherwise(0.0)
-    repeats = F.count(F.lit(1)).cast("decimal(10,0)")
+    repeats = F.count(F.lit(1))
     named = F.col("seller_id").isNotNull()
     gmv = F.sum("gmv")
     sellers = monthly.groupBy("seller_id").agg(
@@ -118,7 +118,7 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
         "seller_state",
         "orders",
         # Lines of no seller match neither reviews nor growth.
-        as_double(F.when(named, F.col("_gmv")).otherwise(F.col("_plain_gmv")), 2).alias("gmv"),
+        money(F.when(named, F.col("_gmv")).otherwise(F.col("_plain_gmv"))).alias("gmv"),
         "on_time_delivery_rate",
         F.when(named, F.col("avg_review_score")).otherwise(0.0).alias("avg_review_score"),
         "cancellation_rate",
