@@ -56,8 +56,7 @@ def stored_tables(spark: SparkSession, tables: Mapping[str, str]) -> dict[str, C
 
 def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
     """The stored warehouse of a version, by default the current one."""
-    tables = store.tables(version)
-    return Warehouse(raw=store.all_raw(), stored=stored_tables(store.spark, tables))
+    return Warehouse(stored=stored_tables(store.spark, store.tables(version)))
 
 
 def load(
@@ -76,7 +75,18 @@ def refresh(
     touched: Iterable[str] = DATASETS,
     export_to: str | None = None,
 ) -> int:
-    """Rebuild what depends on the touched datasets; returns the new version.
+    """Rebuild what depends on the touched datasets from the stored raw
+    batches; returns the new version."""
+    return publish(store, store.all_raw(), touched, export_to)
+
+
+def publish(
+    store: TableStore,
+    raw: Mapping[str, DataFrame],
+    touched: Iterable[str] = DATASETS,
+    export_to: str | None = None,
+) -> int:
+    """Rebuild what depends on the touched datasets and switch to it.
 
     Every table is written before the next one reads it, so no plan spans the
     whole build and a lost executor costs one table's work at most. Checks run
@@ -92,9 +102,8 @@ def refresh(
     def stale(name: str, needs: set[str]) -> bool:
         return bool(needs & touched) or name not in current
 
-    wh = Warehouse(raw=store.all_raw())
     fresh = {n: p for n, p in current.items() if n in TABLES and not stale(n, TABLES[n])}
-    wh.stored = stored_tables(spark, fresh)
+    wh = Warehouse(raw=raw, stored=stored_tables(spark, fresh))
     for name, needs in TABLES.items():
         if stale(name, needs):
             paths[name] = store.write_table(name, wh.table(name), version, PARTITIONED.get(name))
