@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,24 +14,32 @@ from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
 from bazaarlake.sources.storage import TableStore, export_csv
 
-# Stored tables in build order with the datasets each depends on.
-TABLES = {
-    "stg_customers": {"customers"},
-    "stg_orders": {"orders"},
-    "stg_order_items": {"order_items"},
-    "stg_payments": {"order_payments"},
-    "stg_reviews": {"order_reviews"},
-    "stg_products": {"products", "category_translation"},
-    "stg_sellers": {"sellers"},
-    "stg_geolocation": {"geolocation"},
-    "dim_customers": {"customers", "geolocation"},
-    "dim_sellers": {"sellers", "geolocation"},
-    "dim_products": {"products", "category_translation"},
-    "dim_dates": {"orders"},
-    "fct_payments": {"order_payments"},
-    "order_heads": {"orders", "customers"},
-    "order_lines": {"order_items", "orders", "customers"},
-}
+# Stored tables with the datasets each depends on, in waves: the tables of a
+# wave need only those of earlier waves.
+WAVES = [
+    {
+        "stg_customers": {"customers"},
+        "stg_orders": {"orders"},
+        "stg_order_items": {"order_items"},
+        "stg_payments": {"order_payments"},
+        "stg_reviews": {"order_reviews"},
+        "stg_products": {"products", "category_translation"},
+        "stg_sellers": {"sellers"},
+        "stg_geolocation": {"geolocation"},
+    },
+    {
+        "dim_customers": {"customers", "geolocation"},
+        "dim_sellers": {"sellers", "geolocation"},
+        "dim_products": {"products", "category_translation"},
+        "dim_dates": {"orders"},
+        "fct_payments": {"order_payments"},
+        "order_heads": {"orders", "customers"},
+    },
+    {"order_lines": {"order_items", "orders", "customers"}},
+]
+TABLES = {name: needs for wave in WAVES for name, needs in wave.items()}
+# Writes submitted together; small tables fill the gaps of large ones.
+CONCURRENT_WRITES = 4
 PARTITIONED = {"order_heads": "purchase_month", "order_lines": "purchase_month"}
 
 FIRST_LOAD = "first load"
@@ -70,6 +79,16 @@ def load(
     return records.raw_row_counts(store.all_raw())
 
 
+def _write_all(store: TableStore, tables: dict[str, DataFrame], version: int) -> dict[str, str]:
+    """Write independent tables side by side; the first failure is raised."""
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        writes = {
+            name: pool.submit(store.write_table, name, df, version, PARTITIONED.get(name))
+            for name, df in tables.items()
+        }
+        return {name: write.result() for name, write in writes.items()}
+
+
 def refresh(
     store: TableStore,
     touched: Iterable[str] = DATASETS,
@@ -104,14 +123,15 @@ def publish(
 
     fresh = {n: p for n, p in current.items() if n in TABLES and not stale(n, TABLES[n])}
     wh = Warehouse(raw=raw, stored=stored_tables(spark, fresh))
-    for name, needs in TABLES.items():
-        if stale(name, needs):
-            paths[name] = store.write_table(name, wh.table(name), version, PARTITIONED.get(name))
-            wh.keep(name, lambda path=paths[name]: spark.read.parquet(path))
+    for wave in WAVES:
+        due = {name: wh.table(name) for name, needs in wave.items() if stale(name, needs)}
+        written = _write_all(store, due, version)
+        paths |= written
+        for name, read in stored_tables(spark, written).items():
+            wh.keep(name, read)
     quality.enforce(quality.report(wh))
-    for name, (report, needs) in REPORTS.items():
-        if stale(name, needs):
-            paths[name] = store.write_table(name, report(wh), version)
+    due = {name: report(wh) for name, (report, needs) in REPORTS.items() if stale(name, needs)}
+    paths |= _write_all(store, due, version)
     store.commit(paths, version)
     if export_to:
         for name, order in CSV_REPORTS.items():

@@ -43,7 +43,7 @@ def customer_rfm(wh: Warehouse) -> DataFrame:
         & F.col("customer_unique_id").isNotNull()
         & F.col("purchase_date").isNotNull()
     )
-    orders = per_order(lines, "customer_unique_id", "purchase_date")
+    orders = per_order(wh, lines, "customer_unique_id", "purchase_date")
     people = orders.groupBy("customer_unique_id").agg(
         F.max("purchase_date").alias("last_purchase"),
         F.count("order_id").alias("frequency"),

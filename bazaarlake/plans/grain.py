@@ -53,9 +53,9 @@ def filtered_lines(
     return where_all(lines, flt.order_conditions() + flt.item_conditions())
 
 
-def per_order(lines: DataFrame, *keys: str) -> DataFrame:
+def per_order(wh: Warehouse, lines: DataFrame, *keys: str) -> DataFrame:
     """Line sums per order and ``keys``, money in cents."""
-    return lines.groupBy("order_id", *keys).agg(
+    return wh.by_order(lines).groupBy("order_id", *keys).agg(
         F.count(F.lit(1)).alias("items"),
         F.sum(cents("price")).alias("price"),
         F.sum(cents("freight_value")).alias("freight"),

@@ -115,12 +115,12 @@ def _late_rate(orders: DataFrame, key: str) -> DataFrame:
 
 def late_rate_by_seller_state(wh: Warehouse) -> DataFrame:
     lines = wh.lines(seller=("seller_state",))
-    return _late_rate(per_order(lines, "seller_state", "is_late_delivery"), "seller_state")
+    return _late_rate(per_order(wh, lines, "seller_state", "is_late_delivery"), "seller_state")
 
 
 def late_rate_by_category(wh: Warehouse) -> DataFrame:
     lines = wh.lines(category=True).withColumn("category", known_category())
-    return _late_rate(per_order(lines, "category", "is_late_delivery"), "category")
+    return _late_rate(per_order(wh, lines, "category", "is_late_delivery"), "category")
 
 
 def state_lanes(wh: Warehouse) -> DataFrame:

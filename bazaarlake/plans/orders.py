@@ -53,7 +53,7 @@ def repeat_orders_by_city(
     if city is not None:
         lines = lines.filter(F.col("customer_city") == city.lower())
     lines = lines.withColumn("order_type", known_category())
-    person_orders = per_order(lines, "customer_city", "order_type", "customer_unique_id")
+    person_orders = per_order(wh, lines, "customer_city", "order_type", "customer_unique_id")
     people = (
         person_orders.groupBy("customer_city", "order_type", "customer_unique_id")
         .agg(F.count("order_id").alias("order_count"), F.sum("gmv").alias("gmv"))

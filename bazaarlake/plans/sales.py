@@ -57,7 +57,7 @@ def _order_rows(
     known_orders_only: bool = False,
 ) -> DataFrame:
     """Line sums per order and keys, under the payment and review conditions."""
-    orders = paid_with(per_order(lines, *keys), wh, flt.payment_type)
+    orders = paid_with(per_order(wh, lines, *keys), wh, flt.payment_type)
     return with_reviews(orders, wh, flt.review_score, compat, known_orders_only)
 
 
@@ -180,7 +180,7 @@ def _plain_sales(wh: Warehouse, flt: SalesFilter, lines: DataFrame, *keys: str)
     Without payment or review conditions nothing has to be grouped by order.
     """
     if flt.payment_type or flt.review_score:
-        lines = per_order(lines, *keys)
+        lines = per_order(wh, lines, *keys)
         lines = reviewed_with(paid_with(lines, wh, flt.payment_type), wh, flt.review_score)
         return lines.groupBy(*keys).agg(money_total(F.col("gmv")).alias("gmv"))
     return lines.groupBy(*keys).agg(money_total(cents("item_gmv")).alias("gmv"))

@@ -31,7 +31,7 @@ def mean_days(seconds: Column, rows: Column) -> Column:
 
 def revenue_by_category(wh: Warehouse, compat: bool = True) -> DataFrame:
     lines = wh.lines(category=True).withColumn("category", known_category())
-    orders = with_reviews(per_order(lines, "category", "is_late_delivery"), wh, compat=compat)
+    orders = with_reviews(per_order(wh, lines, "category", "is_late_delivery"), wh, compat=compat)
     rows = weighted("items")
     late = F.col("is_late_delivery")
     return (
@@ -54,7 +54,7 @@ def revenue_by_category(wh: Warehouse, compat: bool = True) -> DataFrame:
 def delivery_sla_by_state(wh: Warehouse) -> DataFrame:
     lines = wh.lines(buyer=True, seller=("seller_state",)).filter(F.col("order_status") == DELIVERED)
     orders = per_order(
-        lines, "seller_state", "customer_state", "is_late_delivery", "delivery_seconds"
+        wh, lines, "seller_state", "customer_state", "is_late_delivery", "delivery_seconds"
     )
     items, seconds = F.col("items"), F.col("delivery_seconds")
     return (
@@ -82,7 +82,7 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
     items = F.col("items")
     status, late = F.col("order_status"), F.col("is_late_delivery")
     orders = with_reviews(
-        per_order(wh.lines(), "seller_id", "order_status", "is_late_delivery", "purchase_month"), wh
+        per_order(wh, wh.lines(), "seller_id", "order_status", "is_late_delivery", "purchase_month"), wh
     )
     monthly = orders.groupBy("seller_id", "purchase_month").agg(
         F.count("order_id").alias("orders"),
