@@ -82,14 +82,14 @@ def year_month(date: Column) -> Column:
     return F.substring(date.cast("string"), 1, 7)
 
 
-def months_between_keys(start: Column, end: Column) -> Column:
-    """Calendar months from one 'yyyy-MM' key to another."""
+def month_number(key: Column) -> Column:
+    """Running number of a 'yyyy-MM' month."""
+    return F.substring(key, 1, 4).cast("int") * 12 + F.substring(key, 6, 2).cast("int")
 
-    def ordinal(key: Column) -> Column:
-        year = F.substring(key, 1, 4).cast("int")
-        return year * 12 + F.substring(key, 6, 2).cast("int")
 
-    return ordinal(end) - ordinal(start)
+def months_between_keys(start: Column, end: Column) -> Column:
+    """Calendar months from one 'yyyy-MM' key to another."""
+    return month_number(end) - month_number(start)
 
 
 def number_value(column: Column, default: float = 0.0) -> Column:

@@ -14,6 +14,7 @@ from bazaarlake.functions.numeric import (
     rounded_ratio,
 )
 from bazaarlake.operators.filters import bounded
+from bazaarlake.operators.skew import skew_join
 from bazaarlake.plans.features import cohort_retention
 from bazaarlake.plans.grain import per_order
 from bazaarlake.plans.sales import sales_summary
@@ -199,8 +200,28 @@ def seller_momentum(wh: Warehouse) -> DataFrame:
     return _momentum(wh, wh.lines(), F.col("seller_id"), "seller_id")
 
 
+def before_latest_month(wh: Warehouse) -> Warehouse:
+    """The warehouse as it was before the orders of the latest month came in."""
+    month = F.substring(F.col("order_purchase_timestamp").cast("string"), 1, 7)
+    orders = wh.raw["orders"].withColumn("_month", month)
+    latest = orders.agg(F.max("_month").alias("_latest"))
+    # One row.
+    earlier = orders.crossJoin(F.broadcast(latest)).filter("_month < _latest")
+    kept = earlier.select("order_id")
+    raw = {**wh.raw, "orders": earlier.drop("_month", "_latest")}
+    for dataset in ("order_items", "order_payments", "order_reviews"):
+        raw[dataset] = skew_join(
+            wh.raw[dataset], kept, "order_id", wh.hot("order_id"), "left_semi", order_sized=True
+        )
+    return Warehouse(raw=raw, skew=wh.skew)
+
+
 def ingest_impact(before: Warehouse, after: Warehouse, compat: bool = True) -> DataFrame:
-    """Headline figures of two states of the data, one row per figure."""
+    """Headline figures of two states of the data, one row per figure.
+
+    Two stored versions do as well: ``open_warehouse(store, 0)`` and
+    ``open_warehouse(store)``.
+    """
 
     def figures(wh: Warehouse, state: str) -> DataFrame:
         summary = sales_summary(wh, compat=compat)

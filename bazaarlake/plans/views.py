@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.numeric import (
     SECONDS_PER_DAY,
     money,
+    month_number,
     or_zero,
     ratio,
     rounded,
@@ -94,8 +95,9 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
         F.sum("score_sum").alias("score_sum"),
         F.sum("score_rows").alias("score_rows"),
     )
-    # Lines without a month come before all others.
-    month = F.coalesce("purchase_month", F.lit(""))
+    # Lines without a month come before all others. A number as the order keeps
+    # the aggregate on plain words, hence hashed rather than sorted.
+    month = F.coalesce(month_number(F.col("purchase_month")), F.lit(-1))
     first, latest = F.min_by("gmv", month), F.max_by("gmv", month)
     growth = F.when(first > 0, ratio(latest - first, first)).otherwise(0.0)
     repeats = F.count(F.lit(1))
