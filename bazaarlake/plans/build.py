@@ -12,7 +12,7 @@ from bazaarlake.plans import features, quality
 from bazaarlake.plans.warehouse import Warehouse
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
-from bazaarlake.sources.storage import TableStore, export_csv
+from bazaarlake.sources.storage import Stored, TableStore, export_csv
 
 # Stored tables with the datasets each depends on, in waves: the tables of a
 # wave need only those of earlier waves.
@@ -55,17 +55,17 @@ REPORTS: dict[str, tuple[Callable[[Warehouse], DataFrame], set[str]]] = {
 CSV_REPORTS = {"seller_scores": "performance_score", "cohort_retention": None}
 
 
-def stored_tables(spark: SparkSession, tables: Mapping[str, str]) -> dict[str, Callable]:
+def stored_tables(store: TableStore, tables: Mapping[str, Stored]) -> dict[str, Callable]:
     return {
-        name: (lambda path=path: spark.read.parquet(path))
-        for name, path in tables.items()
+        name: (lambda table=table: store.open(table))
+        for name, table in tables.items()
         if name in TABLES
     }
 
 
 def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
     """The stored warehouse of a version, by default the current one."""
-    return Warehouse(stored=stored_tables(store.spark, store.tables(version)))
+    return Warehouse(stored=stored_tables(store, store.tables(version)))
 
 
 def load(
@@ -79,7 +79,9 @@ def load(
     return records.raw_row_counts(store.all_raw())
 
 
-def _write_all(store: TableStore, tables: dict[str, DataFrame], version: int) -> dict[str, str]:
+def _write_all(
+    store: TableStore, tables: dict[str, DataFrame], version: int
+) -> dict[str, Stored]:
     """Write independent tables side by side; the first failure is raised."""
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
         writes = {
@@ -112,30 +114,29 @@ def publish(
     between tables and reports; if one fails, the old version stays current.
     """
     touched = set(touched)
-    spark = store.spark
     before = store.version()
     version = 0 if before is None else before + 1
     current = store.tables(before)
-    paths = dict(current)
+    tables = dict(current)
 
     def stale(name: str, needs: set[str]) -> bool:
         return bool(needs & touched) or name not in current
 
-    fresh = {n: p for n, p in current.items() if n in TABLES and not stale(n, TABLES[n])}
-    wh = Warehouse(raw=raw, stored=stored_tables(spark, fresh))
+    fresh = {n: t for n, t in current.items() if n in TABLES and not stale(n, TABLES[n])}
+    wh = Warehouse(raw=raw, stored=stored_tables(store, fresh))
     for wave in WAVES:
         due = {name: wh.table(name) for name, needs in wave.items() if stale(name, needs)}
         written = _write_all(store, due, version)
-        paths |= written
-        for name, read in stored_tables(spark, written).items():
+        tables |= written
+        for name, read in stored_tables(store, written).items():
             wh.keep(name, read)
     quality.enforce(quality.report(wh))
     due = {name: report(wh) for name, (report, needs) in REPORTS.items() if stale(name, needs)}
-    paths |= _write_all(store, due, version)
-    store.commit(paths, version)
+    tables |= _write_all(store, due, version)
+    store.commit(tables, version)
     if export_to:
         for name, order in CSV_REPORTS.items():
-            report = spark.read.parquet(paths[name])
+            report = store.open(tables[name])
             keys = [order] if order else report.columns[:2]
             export_csv(report.orderBy(*keys), f"{export_to}/{name}")
     return version

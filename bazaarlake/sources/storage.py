@@ -6,7 +6,7 @@ Below one root folder:
                                load and is never written again, so it serves
                                as the copy from before any append
 ``tables/<table>/v<n>``        a table as built for version n
-``manifests/version=<n>``      which folder holds each table as of version n
+``manifests/version=<n>``      folder and schema of each table as of version n
 ``batches``                    the number given to each delivery
 
 A version becomes current when its manifest is committed, after all of its
@@ -17,6 +17,9 @@ replaced as a whole, so repeated attempts are safe. There is one writer.
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +28,18 @@ from pyspark.sql import types as T
 from bazaarlake.sources.schemas import DATASETS, INGEST_SEQ, raw_columns, raw_schema
 
 _ROW = "_row_number"
-_MANIFEST = "table string, path string"
+_MANIFEST = "table string, path string, schema string"
 _BATCHES = "delivery string, batch bigint"
 
 
+class Stored(NamedTuple):
+    """Where a table is and what it looks like, so that opening it neither
+    reads a file nor fails on a table without rows."""
+
+    path: str
+    schema: str
+
+
 def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
@@ -52,7 +63,13 @@ class TableStore:
         """All records of a dataset, or those from before a batch."""
         schema = T.StructType(raw_schema(dataset).fields)
         schema.add(_ROW, T.LongType()).add("batch", T.LongType())
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/raw/{dataset}")
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/raw/{dataset}")
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+            # Nothing of this dataset has come in yet.
+            rows = self.spark.createDataFrame([], schema)
         if before_batch is not None:
             rows = rows.filter(F.col("batch") < before_batch)
         order = F.struct("batch", _ROW).alias(INGEST_SEQ)
@@ -83,8 +100,9 @@ class TableStore:
 
     def write_table(
         self, table: str, df: DataFrame, version: int, partition_by: str | None = None
-    ) -> str:
+    ) -> Stored:
         path = f"{self.root}/tables/{table}/v{version}"
+        schema = df.schema.json()
         if partition_by:
             # Even files however uneven the partitions, few files per partition.
             df = df.hint("rebalance", partition_by)
@@ -92,11 +110,11 @@ class TableStore:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        return path
+        return Stored(path, schema)
 
-    def commit(self, tables: dict[str, str], version: int) -> None:
+    def commit(self, tables: dict[str, Stored], version: int) -> None:
         """Make a set of table folders the current version."""
-        rows = self.spark.createDataFrame(sorted(tables.items()), _MANIFEST)
+        rows = self.spark.createDataFrame([(name, *t) for name, t in sorted(tables.items())], _MANIFEST)
         path = f"{self.root}/manifests/version={version}"
         rows.coalesce(1).write.mode("overwrite").parquet(path)
 
@@ -114,19 +132,23 @@ class TableStore:
         manifests = self._manifests()
         return None if manifests is None else manifests.agg(F.max("version")).first()[0]
 
-    def tables(self, version: int | None = None) -> dict[str, str]:
-        """Folder of every table in a version, by default the current one."""
+    def tables(self, version: int | None = None) -> dict[str, Stored]:
+        """Every table of a version, by default of the current one."""
         version = self.version() if version is None else version
         if version is None:
             return {}
         rows = self._manifests().filter(F.col("version") == version).collect()
-        return {row["table"]: row["path"] for row in rows}
+        return {row["table"]: Stored(row["path"], row["schema"]) for row in rows}
+
+    def open(self, stored: Stored) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(stored.schema))
+        return self.spark.read.schema(schema).parquet(stored.path)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         tables = self.tables(version)
         if table not in tables:
             raise ValueError(f"no table {table} in the store")
-        return self.spark.read.parquet(tables[table])
+        return self.open(tables[table])
 
 
 def export_csv(df: DataFrame, folder: str) -> None:

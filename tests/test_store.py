@@ -176,3 +176,13 @@ def test_replayed_batch_changes_nothing(spark, tmp_path, store):
         assert ingest.store_batch(store, records_in, batch) == ["sellers"]
         build.refresh(store, ["sellers"])
     assert store.read("dim_sellers").count() == 2
+
+
+def test_stream_into_an_empty_store(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/out")
+    _drop(f"{tmp_path}/drop", "a.json", _record("sellers"))
+    ingest.start(store, f"{tmp_path}/drop", f"{tmp_path}/checkpoint").awaitTermination(300)
+    wh = build.open_warehouse(store)
+    assert store.read("dim_sellers").count() == 1
+    assert store.read("seller_scores").count() == 0
+    assert tuple(sales.sales_summary(wh).first()) == (0.0, 0, 0, 0, 0.0, 0.0, 0.0)
