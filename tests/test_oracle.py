@@ -8,7 +8,8 @@ import compare
 
 FOLDER = "/root/testdata/sf0.001"
 entry = importlib.import_module("__spark_entry__")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry.jobs()}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
