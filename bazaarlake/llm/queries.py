@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Scratch, table
+from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
+from bazaarlake.llm.lines import keep_bitmaps, kept_digests
+from bazaarlake.llm.mixing import mix
 from bazaarlake.session import tune
 
 
@@ -20,8 +22,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    scratch = Scratch(spark, "op4")
+    return kept_digests(docs, scratch.keep(keep_bitmaps(docs, scratch), "bitmaps"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op5"))
+    return mixed.select(id_of("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_source_mix": op5_source_mix,
 }
 
 SQL = {
@@ -34,4 +49,60 @@ SQL = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, place, part.line AS line,
+                   regexp_replace(part.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+                  FROM documents) AS part
+        ), keyed AS (
+            SELECT *, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), common AS (
+            SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ), flagged AS (
+            SELECT k.doc_id, k.place, k.line, coalesce(c.holder <> k.doc_id, false) AS dropped
+            FROM keyed AS k LEFT JOIN common AS c ON c.key = k.key
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM flagged GROUP BY doc_id
+    """,
+    "op5_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents
+        ), totals AS (
+            SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM totals
+        ), tested AS (
+            SELECT w.*, 3 * source_size * (sum(weight) OVER () - coalesce(sum(weight) OVER prior, 0))
+                        <= (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER prior, 0)) * weight AS capped
+            FROM weighed AS w
+            WINDOW prior AS (ORDER BY source_size / weight, source NULLS LAST
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), rest AS (
+            SELECT (sum(source_size) - 3 * coalesce(sum(source_size) FILTER (capped), 0))::BIGINT AS words,
+                   coalesce(sum(weight) FILTER (NOT capped), 0)::BIGINT AS weights
+            FROM tested
+        ), targets AS (
+            SELECT source, source_size,
+                   CASE WHEN capped THEN (3 * source_size)::DOUBLE
+                        ELSE (words * weight)::DOUBLE / weights END AS target
+            FROM tested, rest
+        ), placed AS (
+            SELECT s.*, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR), doc_id
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM sized AS s JOIN targets AS t ON s.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN size = 0 THEN 0
+                    ELSE goal // source_size * size
+                         + greatest(0, least(size, goal % source_size - start)) END::BIGINT AS taken
+        FROM placed
+    """,
 }
