@@ -202,7 +202,7 @@ def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the text that stays, of every document."""
     return (
         row_keys(docs)
-        .join(bitmaps.select("id", "copy", "bitmap"), ["id", "copy"], "left")
+        .join(bitmaps.select("id", "copy", "bitmap").hint("merge"), ["id", "copy"], "left")
         .select("id", "text", "bitmap")
         .mapInArrow(_digests, "id long, n_lines long, n_dropped long, kept_sha256 string")
         .select(id_of("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
