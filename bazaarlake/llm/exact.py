@@ -30,7 +30,8 @@ def radix_groups(
     is decided by a digest.
 
     A level counts its groups with partial sums and keeps those of two rows or more; rows meet them in a
-    left join whose large partitions may be split, so a group of a third of all rows is no hot task.
+    left join whose large partitions may be split, so a group of a third of all rows is no hot task. It is a
+    merge join at every size: the groups grow with the corpus and are never broadcast.
 
     Returns a row per input row: doc_id, keep_id, group_size, kept, the ``carry`` columns in the struct
     ``row`` (so that none of their names can clash) and, if asked for, the text. NULL text is empty. NULL ids are below all others. Of repeated rows
@@ -60,7 +61,7 @@ def radix_groups(
         )
         open_ = F.col("_size").isNotNull() & (F.length("_digit") == width)
         parted = (
-            keyed.join(groups, ["_group", "_digit"], "left")
+            keyed.join(groups.hint("merge"), ["_group", "_digit"], "left")
             .withColumn("_open", open_)
             .select(
                 "_row",
