@@ -1 +1,8 @@
 """Operators for preparing training text: formatting, deduplication, packing, mixing, filtering, extraction."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers need no copy of this package: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from types import ModuleType
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(2**63)
 
 
+#: Rows in an Arrow batch that Python makes.
+CHUNK = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -111,3 +119,30 @@ def global_rank(df: DataFrame, order: Sequence[Column], scratch: Scratch, name:
         .withColumn("rank", F.col("_start") + F.col("_at").bitwiseAND(2**33 - 1))
         .drop("_at", "_part", "_p", "_start")
     )
+
+
+def batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == CHUNK:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process makes once and keeps for its later tasks.
+
+    Functions reach the workers by value, with globals of their own each time; a module lasts.
+    """
+    kept = sys.modules.setdefault("_llm_worker", ModuleType("_llm_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

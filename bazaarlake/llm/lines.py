@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Scratch, id_key, id_of
+from bazaarlake.llm.common import Scratch, batches, id_key, id_of
 
 LINE = pa.schema(
     [("hash", pa.binary()), ("id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())]
@@ -24,26 +24,11 @@ DROPPED, UNDECIDED, EDGE = 0, 1, 2
 MARK = pa.schema([("kind", pa.int8()), *LINE])
 MARK_DDL = f"kind tinyint, {LINE_DDL}"
 
-CHUNK = 20_000
-
-
 def line_key(line: bytes) -> bytes:
     """The line without ASCII white space at its ends, A-Z in lower case."""
     return line.strip().lower()
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of bounded size."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == CHUNK:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def line_hashes(min_chars: int):
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
 from bazaarlake.llm.lines import keep_bitmaps, kept_digests
 from bazaarlake.llm.mixing import mix
+from bazaarlake.llm.packing import pack
+from bazaarlake.llm.quality import ledger, verdicts
+from bazaarlake.llm.quality import ledger, verdicts
 from bazaarlake.session import tune
 
 
@@ -22,6 +26,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    return pack(docs, Scratch(spark, "op3"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents")
     scratch = Scratch(spark, "op4")
@@ -33,10 +42,25 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(id_of("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = verdicts(ledger(table(tune(spark), sf_dir, "documents")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = verdicts(ledger(table(tune(spark), sf_dir, "documents")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_quality_rules": op6_quality_rules,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 SQL = {
