@@ -12,7 +12,9 @@ from bazaarlake.llm.lines import keep_bitmaps, kept_digests
 from bazaarlake.llm.mixing import mix
 from bazaarlake.llm.packing import pack
 from bazaarlake.llm.quality import ledger, verdicts
+from bazaarlake.llm.secrets import report, scan
 from bazaarlake.llm.quality import ledger, verdicts
+from bazaarlake.llm.secrets import report, scan
 from bazaarlake.session import tune
 
 
@@ -54,13 +56,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(scan(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op7")))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 SQL = {
