@@ -69,29 +69,38 @@ def id_of(key: str) -> Column:
     return F.when(F.col(key) != NO_ID, F.col(key))
 
 
-def with_offsets(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column) -> DataFrame:
-    """Running sum of ``value`` before each row, per ``keys``, in the order of (bucket, order).
+def with_offsets(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], values: dict[str, Column]
+) -> DataFrame:
+    """Running sums before each row, per ``keys``, in the order of (bucket, order).
 
     Rows of one key may be a third of the table, so nothing is sorted per key: a window sums inside each
     (key, bucket), a second one over the few bucket totals of a key adds what lies before. Buckets must be
-    consistent with the wanted order. Adds ``before`` and ``key_total``.
+    consistent with the wanted order. For each name in ``values`` adds <name>_before and <name>_total.
     """
-    valued = df.withColumn("_value", value.cast("long"))
+    valued = df.withColumns({f"_v_{n}": v.cast("long") for n, v in values.items()})
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    none = F.lit(0).cast("long")
     totals = (
         valued.groupBy(*keys, bucket)
-        .agg(F.sum("_value").alias("_sum"))
-        .withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0)))
-        .withColumn("key_total", F.sum("_sum").over(Window.partitionBy(*keys)))
-        .select(*(F.col(k).alias(f"_{k}") for k in (*keys, bucket)), "_base", "key_total")
+        .agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values))
+        .select(
+            *(F.col(k).alias(f"_k_{k}") for k in (*keys, bucket)),
+            *(F.coalesce(F.sum(f"_s_{n}").over(across), none).alias(f"_b_{n}") for n in values),
+            *(F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in values),
+        )
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, bucket)]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, bucket)]
     return (
-        valued.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+        valued.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), none) for n in values})
         .join(totals, same)
-        .withColumn("before", F.col("_in") + F.col("_base"))
-        .drop("_value", "_in", "_base", *(f"_{k}" for k in (*keys, bucket)))
+        .select(
+            *(F.col(c) for c in df.columns),
+            *((F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(f"{n}_before") for n in values),
+            *(f"{n}_total" for n in values),
+        )
     )
 
 

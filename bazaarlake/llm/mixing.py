@@ -103,12 +103,12 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("_time", F.expr(f"slot div {PIECE}"))
     )
     columns = ["source", "slot", "_time", "slots", "blocks", "epochs", "rest", "source_size"]
-    ranked = with_offsets(points.select(*columns), ["source"], "_time", [F.col("slot")], F.lit(1))
-    epoch = F.expr("before div blocks")
-    index = F.expr("before % blocks")
+    ranked = with_offsets(points.select(*columns), ["source"], "_time", [F.col("slot")], {"slots": F.lit(1)})
+    epoch = F.expr("slots_before div blocks")
+    index = F.expr("slots_before % blocks")
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - index * block)
     return (
-        ranked.where(F.col("before") < F.col("slots"))
+        ranked.where(F.col("slots_before") < F.col("slots"))
         .withColumn("epoch", epoch)
         .withColumn("block_index", index)
         .withColumn("tokens", F.when(epoch < F.col("epochs"), length).otherwise(F.least(length, F.col("rest") - index * block)))
@@ -150,8 +150,8 @@ def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
         ["source"],
         "_bucket",
         [F.col("_digest"), F.col("id"), F.col("copy")],
-        F.col("words"),
-    ).select("id", "copy", "source", "words", F.col("before").alias("start"))
+        {"words": F.col("words")},
+    ).select("id", "copy", "source", "words", F.col("words_before").alias("start"))
     uses = (
         schedule(targets, block)
         .groupBy(F.col("source").alias("_source"), F.col("block_index").alias("_block"))

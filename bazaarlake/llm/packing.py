@@ -260,7 +260,7 @@ BUCKETS = 4096
 def place(table: dict[int, tuple[np.ndarray, ...]]):
     def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lengths, ranks = part.column("length").to_numpy(), part.column("before").to_numpy()
+            lengths, ranks = part.column("length").to_numpy(), part.column("rank_before").to_numpy()
             sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for length in np.unique(lengths):
                 own = np.flatnonzero(lengths == length)
@@ -296,7 +296,7 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPA
         ["length"],
         "bucket",
         [F.col("id"), F.col("piece"), F.col("ids_crc32"), F.col("start")],
-        F.lit(1),
+        {"rank": F.lit(1)},
     )
     return ranked.mapInArrow(place(table), f"{PIECE_DDL}, sequence_id long, offset long").select(
         id_of("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlake.llm.chat import conversation_digests, windows
 from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
 from bazaarlake.llm.lines import keep_bitmaps, kept_digests
@@ -18,6 +19,15 @@ from bazaarlake.llm.secrets import report, scan
 from bazaarlake.session import tune
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    planted = tune(spark).createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select(planted.columns)
+    return conversation_digests(windows(rows.unionByName(planted)))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select(
         "doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest")
@@ -61,6 +71,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
