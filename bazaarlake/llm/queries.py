@@ -11,6 +11,7 @@ from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
 from bazaarlake.llm.lines import keep_bitmaps, kept_digests
 from bazaarlake.llm.mixing import mix
+from bazaarlake.llm.near import near_duplicates
 from bazaarlake.llm.packing import pack
 from bazaarlake.llm.quality import ledger, verdicts
 from bazaarlake.llm.secrets import report, scan
@@ -70,6 +71,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op7")))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,8 +83,10 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 SQL = {
