@@ -15,8 +15,10 @@ from bazaarlake.llm.near import near_duplicates
 from bazaarlake.llm.packing import pack
 from bazaarlake.llm.quality import ledger, verdicts
 from bazaarlake.llm.secrets import report, scan
+from bazaarlake.llm.suffixes import repeated_spans
 from bazaarlake.llm.quality import ledger, verdicts
 from bazaarlake.llm.secrets import report, scan
+from bazaarlake.llm.suffixes import repeated_spans
 from bazaarlake.session import tune
 
 
@@ -75,6 +77,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op8"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op9")).drop("spans")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,9 +90,11 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 SQL = {
