@@ -191,3 +191,42 @@ def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
             F.expr("coalesce(_taken, 0L) div rows").alias("taken"),
         )
     )
+
+
+def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """The documents as the mix reads them, with all their columns: one row for each reading.
+
+    The last reading of one document of a source may end inside it; that row has its first words, with one
+    space between, and its own n_chars. Documents of which nothing is read, or without words, have no row.
+    """
+    decided = scratch.keep(
+        mix(docs, scratch, block)
+        .where("taken > 0")
+        .select(
+            F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("source").alias("_source"), "size", "taken"
+        )
+        .distinct(),
+        "decided",
+    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        id_key().alias("id"),
+        F.xxhash64(text).alias("copy"),
+        F.col("source").alias("from"),
+    )
+    same = (F.col("id") == F.col("_id")) & (F.col("copy") == F.col("_copy")) & F.col("from").eqNullSafe(F.col("_source"))
+    read = (
+        rows.join(decided.hint("merge"), same)
+        .withColumn("reading", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
+        .withColumn("words", F.expr("least(size, taken - reading * size)"))
+    )
+    some = F.array_join(
+        F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " "
+    )
+    part = F.col("words") < F.col("size")
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns["text"] = F.when(part, some).otherwise(columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(part, F.length(some).cast("long")).otherwise(columns["n_chars"])
+    return read.select(*(c.cast(docs.schema[n].dataType).alias(n) for n, c in columns.items()))

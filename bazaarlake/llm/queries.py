@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bazaarlake.llm.chat import conversation_digests, windows
 from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
+from bazaarlake.llm.html import main_texts
 from bazaarlake.llm.lines import keep_bitmaps, kept_digests
 from bazaarlake.llm.mixing import mix
 from bazaarlake.llm.near import near_duplicates
@@ -81,6 +82,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op9")).drop("spans")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(tune(spark), sf_dir, "pages"), Scratch(spark, "op10"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -91,10 +96,12 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html_extraction": op10_html_extraction,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {
