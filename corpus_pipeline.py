@@ -1,31 +1,58 @@
-"""A corpus made ready for training: the text operators one after the other."""
+"""A corpus made ready for training: filtered, deduplicated, mixed and packed by the text operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlake.llm import exact, mixing, near, packing, quality
 from bazaarlake.llm.common import Scratch
-from bazaarlake.llm.exact import exact_dedup as drop_exact_copies
 from bazaarlake.session import tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the strict policy keeps."""
+    return quality.keep_good(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs, Scratch(spark, "exact"))
+    """Of equal texts the document with the largest id."""
+    return exact.exact_dedup(docs, Scratch(tune(spark), "exact"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id."""
+    return near.keep_one(docs, Scratch(tune(spark), "near"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix reads a document."""
+    return mixing.mixed_documents(docs, Scratch(tune(spark), "mix"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences."""
+    return packing.pack(docs, Scratch(tune(spark), "pack"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-#: The tokenizer of the packing stage has no SQL form; the tests hold each stage against brute force.
+#: The tokenizer of the last stage has no SQL form; the tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written and read again by the next."""
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
