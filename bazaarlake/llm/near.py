@@ -329,6 +329,7 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gone = found.join(first.hint("merge"), "component").where(
         (F.col("n") > 0) & (F.struct("id", "copy") != F.col("first"))
     )
-    gone = scratch.keep(gone.select(F.col("id").alias("_id"), F.col("copy").alias("_copy")).distinct(), "gone")
+    gone = scratch.keep(gone.select("id", "copy").distinct(), "gone")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.join(gone.hint("merge"), (id_key() == F.col("_id")) & (F.xxhash64(text) == F.col("_copy")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("id"), F.xxhash64(text).alias("copy"))
+    return rows.join(gone.hint("merge"), ["id", "copy"], "left_anti").select("row.*")
