@@ -35,12 +35,22 @@ def cents(name: str) -> Column:
 
 def money(total: Column) -> Column:
     """A total of cents as a double."""
-    return (total.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("double")
+    return (total.cast("decimal(36,0)") * F.lit(Decimal("0.01"))).cast("double")
+
+
+def exact_sum(column: Column) -> Column:
+    """Sum of whole numbers that may be larger than a machine word.
+
+    High and low bits are summed apart, each as a plain word, and put together
+    at the end: the low sum has room for 8 * 10^12 rows in a group.
+    """
+    high, low = F.shiftright(column, 20), column.bitwiseAND(F.lit(2**20 - 1))
+    return F.sum(high).cast("decimal(20,0)") * F.lit(2**20) + F.sum(low).cast("decimal(20,0)")
 
 
 def money_total(column: Column) -> Column:
     """Sum of cents as money, 0 for no rows."""
-    return money(or_zero(F.sum(column)))
+    return money(or_zero(exact_sum(column)))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -2,38 +2,35 @@
 
 A profile of the few keys that dominate a column is measured once per table
 with a mergeable frequent-items sketch (one scan of the key columns, a few
-hundred values back). The profile only decides which rows are salted: the
-result of a join is the same whatever it contains.
+values per shuffle partition back). What counts as hot follows the size of a
+task: a key with more rows than half a task has on average is salted, with as
+many salts as it fills half tasks. The profile only decides which rows are
+salted: the result of a join is the same whatever it contains.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this share of the rows, so there are at most 256 of them.
-HOT_SHARE = 1 / 256
-# Below this many rows a key fits one task and salting does not pay.
-HOT_MIN_ROWS = 2_000_000
-SKETCH_ITEMS = 4096
-# Salts per hot key are capped only to bound the copies of the lookup rows;
-# every row still takes part.
-MAX_SALTS = 4096
+# Items a sketch follows for each key it may report.
+SKETCH_FACTOR = 8
 # Row number given at the scan: spreads even exact copies of a row.
 ROW = "_row"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    values: tuple = ()
-    null: bool = False
-    salts: int = 1
+    """Hot keys with the number of tasks that each is spread over."""
+
+    salts: dict = field(default_factory=dict)
 
     def __bool__(self) -> bool:
-        return bool(self.values) or self.null
+        return bool(self.salts)
 
 
 @dataclass(frozen=True)
@@ -48,35 +45,38 @@ class SkewProfile:
     def merge(self, other: "SkewProfile") -> "SkewProfile":
         return SkewProfile({**self.measured, **other.measured})
 
+    def to_json(self) -> str:
+        return json.dumps({name: list(hot.salts.items()) for name, hot in self.measured.items()})
+
+    @classmethod
+    def from_json(cls, text: str) -> "SkewProfile":
+        return cls({name: HotKeys(dict(map(tuple, pairs))) for name, pairs in json.loads(text).items()})
+
 
-def measure(
-    df: DataFrame,
-    columns: list[str],
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
-) -> SkewProfile:
+def measure(df: DataFrame, columns: list[str]) -> SkewProfile:
     """Find hot keys of several columns in one pass.
 
-    The action returns one row with at most 1/share keys per column.
+    The action returns one row with at most two keys per column and shuffle
+    partition: there cannot be more that fill half a task.
     """
-    top = math.ceil(1 / share)
+    halves = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = [
-        F.expr(f"approx_top_k(`{name}`, {top}, {SKETCH_ITEMS})").alias(name) for name in columns
+        F.expr(f"approx_top_k(`{name}`, {halves}, {SKETCH_FACTOR * halves})").alias(name) for name in columns
     ]
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *sketches).first()
-    floor = max(row["_rows"] * share, min_rows)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = {name: HotKeys() for name in columns}
-    for name in columns:
-        heavy = [(item["item"], item["count"]) for item in row[name] if item["count"] >= floor]
-        if heavy:
-            largest = max(count for _, count in heavy) / row["_rows"]
-            hot[name] = HotKeys(
-                values=tuple(value for value, _ in heavy if value is not None),
-                null=any(value is None for value, _ in heavy),
-                salts=min(MAX_SALTS, max(2, math.ceil(2 * largest * partitions))),
+    half = row["_rows"] / halves
+    return SkewProfile(
+        {
+            name: HotKeys(
+                {
+                    item["item"]: math.ceil(item["count"] / half)
+                    for item in row[name] or ()
+                    if item["count"] > max(half, 1)
+                }
             )
-    return SkewProfile(hot)
+            for name in columns
+        }
+    )
 
 
 def skew_join(
@@ -89,9 +89,10 @@ def skew_join(
 ) -> DataFrame:
     """Join ``left`` (the big side) to a lookup, salting the hot keys of ``left``.
 
-    Rows of a hot key are spread over ``hot.salts`` tasks, by their number from
-    the scan (``ROW``) if they have one, else by a hash of the row; only the
-    lookup rows of hot keys are copied.
+    Rows of a hot key are spread over its salts, by their number from the scan
+    (``ROW``) if they have one, else by a hash of the row; only the lookup rows
+    of hot keys are copied, no more in all than there are half tasks. The table
+    of hot keys is broadcast: it has two rows per shuffle partition at most.
 
     ``order_sized`` says that the lookup grows with the orders. It is then
     merge-joined at any size: broadcasting it could only work on small data,
@@ -101,13 +102,21 @@ def skew_join(
         raise ValueError(f"cannot salt a {how} join")
     if not hot:
         return left.join(right.hint("merge") if order_sized else right, key, how)
-    is_hot = F.col(key).isin(list(hot.values)) if hot.values else F.lit(False)
-    spread = F.coalesce(is_hot, F.lit(hot.null))
+    kind = left.schema[key].dataType.simpleString()
+    table = F.broadcast(
+        left.sparkSession.createDataFrame(list(hot.salts.items()), f"_hot {kind}, _salts int")
+    )
     number = F.col(ROW) if ROW in left.columns else F.xxhash64(*left.columns)
-    salt = F.pmod(number, F.lit(hot.salts))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.withColumn("_salt", F.when(spread, salt.cast("int")).otherwise(F.lit(0)))
-    lookup = right.withColumn("_salt", F.explode(copies))
+    salted = (
+        left.join(table, F.col(key).eqNullSafe(F.col("_hot")), "left")
+        .withColumn("_salt", F.coalesce(F.pmod(number, F.col("_salts")).cast("int"), F.lit(0)))
+        .drop("_hot", "_salts")
+    )
+    lookup = (
+        right.join(table, F.col(key) == F.col("_hot"), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_hot", "_salts")
+    )
     lookup = lookup.hint("merge") if order_sized else lookup
     return salted.join(lookup, [key, "_salt"], how).drop("_salt")
 

@@ -30,19 +30,21 @@ def map_layer(
 
     places = (
         wh.table("dim_customers")
-        .groupBy(F.col("customer_city").alias("city"))
+        .groupBy(F.col("customer_city").alias("city"), F.col("customer_state").alias("state"))
         .agg(
             centre("customer_latitude").alias("latitude"),
             centre("customer_longitude").alias("longitude"),
         )
     )
-    return bubbles.join(places, "city", "left").select(
+    here = F.col("b.city").eqNullSafe(F.col("p.city")) & F.col("b.state").eqNullSafe(F.col("p.state"))
+    placed = bubbles.alias("b").join(places.alias("p"), here, "left")
+    return placed.select("b.*", "latitude", "longitude").select(
         *bubbles.columns,
         rounded(F.least(radius, F.lit(LARGEST_RADIUS)), 6).alias("bubble_radius"),
         falling_band(F.col("avg_review_score"), 4, 3).alias("review_color"),
         "latitude",
         "longitude",
-    )
+    ).orderBy(F.desc("gmv"), "city", "state", "top_category")
 
 
 def kpi_bands(wh: Warehouse, flt: SalesFilter = NO_FILTER, compat: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from bazaarlake.functions.bands import rfm_segment, risk_tier
 from bazaarlake.functions.geo import haversine_km
 from bazaarlake.functions.numeric import (
     clamp01,
-    money,
+    money_total,
     months_between_keys,
     or_zero,
     rounded,
@@ -37,17 +37,18 @@ def seller_scores(wh: Warehouse, compat: bool = True) -> DataFrame:
 
 
 def customer_rfm(wh: Warehouse) -> DataFrame:
-    """Recency, frequency and spend per person over delivered orders with items."""
+    """Recency, frequency and spend per person over delivered orders with items.
+
+    Orders of buyers that are not known are those of one person, NULL.
+    """
     lines = wh.lines(buyer=True).filter(
-        (F.col("order_status") == DELIVERED)
-        & F.col("customer_unique_id").isNotNull()
-        & F.col("purchase_date").isNotNull()
+        (F.col("order_status") == DELIVERED) & F.col("purchase_date").isNotNull()
     )
     orders = per_order(wh, lines, "customer_unique_id", "purchase_date")
     people = orders.groupBy("customer_unique_id").agg(
         F.max("purchase_date").alias("last_purchase"),
         F.count("order_id").alias("frequency"),
-        or_zero(money(F.sum("gmv"))).alias("monetary"),
+        money_total(F.col("gmv")).alias("monetary"),
     )
     today = wh.orders().agg(F.max("purchase_date").alias("analysis_date"))
     recency = F.date_diff("analysis_date", "last_purchase")
@@ -62,13 +63,14 @@ def customer_rfm(wh: Warehouse) -> DataFrame:
 
 
 def cohort_retention(wh: Warehouse) -> DataFrame:
-    """Persons of each first-purchase month that bought again n months later."""
+    """Persons of each first-purchase month that bought again n months later.
+
+    Buyers that are not known are one person, NULL.
+    """
     months = (
         wh.orders(buyer=True)
         .filter(
-            (F.col("order_status") == DELIVERED)
-            & F.col("customer_unique_id").isNotNull()
-            & F.col("purchase_month").isNotNull()
+            (F.col("order_status") == DELIVERED) & F.col("purchase_month").isNotNull()
         )
         .select("customer_unique_id", F.col("purchase_month").alias("order_month"))
         .distinct()

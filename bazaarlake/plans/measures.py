@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
     cents,
+    exact_sum,
     money,
     money_total,
     months_between_keys,
     rounded,
     rounded_ratio,
+    year_month,
 )
 from bazaarlake.operators.filters import bounded
 from bazaarlake.operators.skew import skew_join
@@ -77,7 +79,8 @@ def top_sellers_by_gmv(wh: Warehouse, limit: int = 10) -> DataFrame:
     sales = wh.lines().filter("seller_id IS NOT NULL").groupBy("seller_id").agg(_gmv())
     # Only the winners are looked up.
     top = _top(sales, "seller_id", limit).join(places, "seller_id", "left")
-    return top.select("seller_id", "seller_city", "seller_state", "gmv")
+    named = top.select("seller_id", "seller_city", "seller_state", "gmv")
+    return named.orderBy(F.desc("gmv"), "seller_id")
 
 
 def monthly_gmv_growth(wh: Warehouse) -> DataFrame:
@@ -86,7 +89,7 @@ def monthly_gmv_growth(wh: Warehouse) -> DataFrame:
         wh.lines()
         .filter("purchase_month IS NOT NULL")
         .groupBy(F.col("purchase_month").alias("month"))
-        .agg(F.sum(cents("item_gmv")).alias("total"))
+        .agg(exact_sum(cents("item_gmv")).alias("total"))
     )
     # One row per calendar month, so one task sorts a few hundred rows at most.
     by_month = Window.orderBy("month")
@@ -159,7 +162,7 @@ def cohort_heatmap(wh: Warehouse) -> DataFrame:
 
 def rfm_distribution(rfm: DataFrame) -> DataFrame:
     # Money back to cents, so that the total does not depend on row order.
-    spend = F.sum(F.round(F.col("monetary") * 100).cast("bigint"))
+    spend = exact_sum(F.round(F.col("monetary") * 100).cast("bigint"))
     return rfm.groupBy("rfm_segment").agg(
         F.count(F.lit(1)).alias("customers"), money(spend).alias("monetary")
     )
@@ -174,12 +177,19 @@ def monetary_by_state_category(wh: Warehouse) -> DataFrame:
 
 
 def _momentum(wh: Warehouse, lines: DataFrame, key: Column, name: str) -> DataFrame:
-    """Sales of the latest month against the month before."""
-    latest = wh.orders().agg(F.max("purchase_month").alias("latest"))
-    age = months_between_keys(F.col("purchase_month"), F.col("latest"))
-    recent = lines.crossJoin(F.broadcast(latest)).filter(age <= 1)
-    now = F.sum(F.when(age == 0, cents("item_gmv")).otherwise(0))
-    before = F.sum(F.when(age == 1, cents("item_gmv")).otherwise(0))
+    """Sales of the latest month against the month before.
+
+    The two months are a table of two rows that lines meet by equality, so a
+    stored warehouse reads the files of these months only.
+    """
+    latest = F.to_date(F.concat(F.max("purchase_month"), F.lit("-01")))
+    ages = F.array(*(F.struct(F.lit(n).alias("age"), F.add_months("_day", -n).alias("day")) for n in (0, 1)))
+    two = wh.orders().agg(latest.alias("_day")).select(F.inline(ages))
+    months = two.select("age", year_month(F.col("day")).alias("purchase_month"))
+    recent = lines.join(F.broadcast(months), "purchase_month")
+    age = F.col("age")
+    now = exact_sum(F.when(age == 0, cents("item_gmv")).otherwise(0))
+    before = exact_sum(F.when(age == 1, cents("item_gmv")).otherwise(0))
     return recent.groupBy(key.alias(name)).agg(
         money(now).alias("latest_gmv"),
         money(before).alias("previous_gmv"),

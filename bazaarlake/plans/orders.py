@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.functions.numeric import money, rounded_ratio
+from bazaarlake.functions.numeric import exact_sum, money, rounded_ratio
 from bazaarlake.operators.filters import bounded
 from bazaarlake.plans.grain import per_order
 from bazaarlake.plans.views import DELIVERED, known_category
@@ -65,7 +65,7 @@ def repeat_orders_by_city(
         .agg(
             F.count("customer_unique_id").alias("repeat_customers"),
             orders.alias("repeat_orders"),
-            money(F.sum("gmv")).alias("gmv"),
+            money(exact_sum(F.col("gmv"))).alias("gmv"),
             rounded_ratio(orders, F.count(F.lit(1)), 2).alias("avg_repeat_orders_per_customer"),
         )
         .orderBy(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
     cents,
+    exact_sum,
     money_total,
     or_zero,
     percent,
@@ -69,8 +70,9 @@ def sales_summary(
         wh, lines, flt, compat, "order_status", "is_late_delivery", "customer_id", "order_known"
     )
     delivered = F.col("order_status") == DELIVERED
-    gmv = F.sum(weighted("gmv"))
-    sales_units = F.sum(weighted("items")) if compat else _known(F.lit(True))
+    gmv = exact_sum(weighted("gmv"))
+    # A mean over lines leaves out lines without a price.
+    sales_units = F.sum(weighted("priced")) if compat else _known(F.lit(True))
     figures = orders.agg(
         money_total(weighted("gmv")).alias("total_gmv"),
         F.count(F.when(delivered, 1)).alias("delivered_orders"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake.functions.numeric import (
     SECONDS_PER_DAY,
+    exact_sum,
     money,
     month_number,
     or_zero,
@@ -40,9 +41,9 @@ def revenue_by_category(wh: Warehouse, compat: bool = True) -> DataFrame:
         .agg(
             F.count("order_id").alias("orders"),
             F.sum(rows).alias("items_sold"),
-            money(F.sum(weighted("price"))).alias("merchandise_revenue"),
-            money(F.sum(weighted("freight"))).alias("freight_revenue"),
-            money(F.sum(weighted("gmv"))).alias("gmv"),
+            money(exact_sum(weighted("price"))).alias("merchandise_revenue"),
+            money(exact_sum(weighted("freight"))).alias("freight_revenue"),
+            money(exact_sum(weighted("gmv"))).alias("gmv"),
             rounded(mean_score(), 2).alias("avg_review_score"),
             rounded_ratio(
                 F.sum(rows * late), F.sum(F.when(late.isNotNull(), rows)), 4
@@ -68,7 +69,7 @@ def delivery_sla_by_state(wh: Warehouse) -> DataFrame:
             rounded_ratio(F.sum(items * F.col("is_late_delivery")), F.sum(items), 4).alias(
                 "late_delivery_rate"
             ),
-            money(F.sum("gmv")).alias("gmv"),
+            money(exact_sum(F.col("gmv"))).alias("gmv"),
         )
         .orderBy(F.desc("late_delivery_rate"), F.desc("orders"), "seller_state", "customer_state")
     )
@@ -102,7 +103,7 @@ def seller_performance_base(wh: Warehouse, compat: bool = True) -> DataFrame:
     growth = F.when(first > 0, ratio(latest - first, first)).otherwise(0.0)
     repeats = F.count(F.lit(1))
     named = F.col("seller_id").isNotNull()
-    gmv = F.sum("gmv")
+    gmv = exact_sum(F.col("gmv"))
     sellers = monthly.groupBy("seller_id").agg(
         F.sum("orders").alias("orders"),
         # A line is repeated once per active month of its seller.

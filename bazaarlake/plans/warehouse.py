@@ -61,6 +61,12 @@ class Warehouse:
 
     # -- tables -------------------------------------------------------------
 
+    def report(self, name: str, compute: Callable[["Warehouse"], DataFrame]) -> DataFrame:
+        """A report as it is stored, else computed once."""
+        if name not in self._tables and name not in self.stored:
+            self._tables[name] = compute(self)
+        return self.table(name)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             if name in self.stored:
@@ -149,18 +155,6 @@ class Warehouse:
     def _fct_payments(self) -> DataFrame:
         return facts.fct_payments(self.table("stg_payments"))
 
-    def by_order(self, lines: DataFrame) -> DataFrame:
-        """Lines brought together by order, for grouping and joining per order.
-
-        Computed lines already are, by the join that made them. Stored lines
-        are moved once here, instead of once to be grouped and again to be
-        joined. With a hot order grouping comes first: it shrinks the order
-        where it is read.
-        """
-        if "order_lines" in self.stored and not self.hot("order_id"):
-            return lines.repartition("order_id")
-        return lines
-
     # -- the start of most queries -----------------------------------------
 
     def orders(self, buyer: bool = False) -> DataFrame:

@@ -115,8 +115,8 @@ FROM shipped_lines GROUP BY 1, 2""",
 RFM = {
     "spenders": """
 SELECT customer_unique_id, max(purchase_date) AS latest, count(DISTINCT order_id) AS frequency,
-  CAST(sum(item_gmv) AS DOUBLE) AS monetary
-FROM item_facts WHERE order_status = 'delivered' GROUP BY 1""",
+  CAST(coalesce(sum(item_gmv), 0) AS DOUBLE) AS monetary
+FROM item_facts WHERE order_status = 'delivered' AND purchase_date IS NOT NULL GROUP BY 1""",
     "aged": """
 SELECT customer_unique_id, date_diff('day', latest, (SELECT max(purchase_date) FROM order_facts))
     AS recency_days, frequency, monetary FROM spenders""",
@@ -128,8 +128,9 @@ SELECT *, CASE WHEN frequency >= 3 AND monetary >= 500 THEN 'champions' WHEN fre
 
 COHORTS = {
     "active_months": """
-SELECT DISTINCT customer_unique_id, date_trunc('month', purchase_date) AS active
-FROM order_facts WHERE order_status = 'delivered'""",
+SELECT DISTINCT coalesce(customer_unique_id, chr(1)) AS customer_unique_id,
+  date_trunc('month', purchase_date) AS active
+FROM order_facts WHERE order_status = 'delivered' AND purchase_date IS NOT NULL""",
     "joined": "SELECT customer_unique_id, min(active) AS first_month FROM active_months GROUP BY 1",
     "sizes": "SELECT first_month, count(*) AS people FROM joined GROUP BY 1",
     "cohorts": f"""
@@ -404,11 +405,11 @@ SELECT m.*, {rnd("least(sqrt(gmv / 500e0) * 3e0, 50e0)", 6)} AS bubble_radius,
   CASE WHEN avg_review_score >= 4 THEN '#16A34A' WHEN avg_review_score >= 3 THEN '#F59E0B' ELSE '#DC2626' END
     AS review_color, latitude, longitude
 FROM sales AS m LEFT JOIN (
-  SELECT customer_city AS city,
+  SELECT customer_city AS city, customer_state AS state,
     {rnd("CAST(sum(CAST(customer_latitude AS DECIMAL(18,9))) AS DOUBLE) / count(customer_latitude)", 6)} AS latitude,
     {rnd("CAST(sum(CAST(customer_longitude AS DECIMAL(18,9))) AS DOUBLE) / count(customer_longitude)", 6)} AS longitude
-  FROM dim_customers GROUP BY 1
-) USING (city)"""
+  FROM dim_customers GROUP BY 1, 2
+) AS p ON p.city IS NOT DISTINCT FROM m.city AND p.state IS NOT DISTINCT FROM m.state"""
 
 MEASURES = f"""
 SELECT (SELECT CAST(sum(item_gmv) AS DOUBLE) FROM item_facts) AS total_gmv,
@@ -524,7 +525,7 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY performance_score DESC, seller
             """
 SELECT origin_zip, destination_zip, CAST(ceil(avg_delivery_days) AS BIGINT) AS estimated_delivery_days,
   late_delivery_rate, orders AS historical_orders, 'exact historical lane' AS method
-FROM lanes WHERE origin_zip = 5007 AND destination_zip = 1042""",
+FROM lanes WHERE origin_zip = 5000 AND destination_zip = 1003""",
             **lanes(),
         ),
         # sales figures
