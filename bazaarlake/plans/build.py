@@ -8,8 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlake.operators.skew import SkewProfile
 from bazaarlake.plans import features, quality
-from bazaarlake.plans.warehouse import Warehouse
+from bazaarlake.plans.warehouse import JOIN_COLUMNS, Warehouse
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
 from bazaarlake.sources.storage import Stored, TableStore, export_csv
@@ -42,6 +43,9 @@ TABLES = {name: needs for wave in WAVES for name, needs in wave.items()}
 CONCURRENT_WRITES = 4
 PARTITIONED = {"order_heads": "purchase_month", "order_lines": "purchase_month"}
 
+# Manifest entry that holds the skew profile of the version.
+SKEW = "_skew"
+
 FIRST_LOAD = "first load"
 
 _SALES = {"order_items", "orders", "customers"}
@@ -51,7 +55,7 @@ REPORTS: dict[str, tuple[Callable[[Warehouse], DataFrame], set[str]]] = {
     "cohort_retention": (features.cohort_retention, {"orders", "customers"}),
     "delivery_lanes": (features.delivery_lanes, _SALES | {"sellers", "geolocation"}),
 }
-# Reports short enough for a single CSV file.
+# Reports that are also written as CSV, with the order of their rows.
 CSV_REPORTS = {"seller_scores": "performance_score", "cohort_retention": None}
 
 
@@ -64,8 +68,15 @@ def stored_tables(store: TableStore, tables: Mapping[str, Stored]) -> dict[str,
 
 
 def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
-    """The stored warehouse of a version, by default the current one."""
-    return Warehouse(stored=stored_tables(store, store.tables(version)))
+    """The stored warehouse of a version, by default the current one.
+
+    Tables and reports are those of the version, with the skew measured when
+    it was built; raw records are those in the store now.
+    """
+    tables = store.tables(version)
+    stored = {name: (lambda table=table: store.open(table)) for name, table in tables.items() if name != SKEW}
+    skew = SkewProfile.from_json(tables[SKEW].path) if SKEW in tables else None
+    return Warehouse(raw=store.all_raw(), stored=stored, skew=skew)
 
 
 def load(
@@ -124,6 +135,7 @@ def publish(
 
     fresh = {n: t for n, t in current.items() if n in TABLES and not stale(n, TABLES[n])}
     wh = Warehouse(raw=raw, stored=stored_tables(store, fresh))
+    tables.pop(SKEW, None)
     for wave in WAVES:
         due = {name: wh.table(name) for name, needs in wave.items() if stale(name, needs)}
         written = _write_all(store, due, version)
@@ -133,6 +145,9 @@ def publish(
     quality.enforce(quality.report(wh))
     due = {name: report(wh) for name, (report, needs) in REPORTS.items() if stale(name, needs)}
     tables |= _write_all(store, due, version)
+    for columns in JOIN_COLUMNS.values():
+        wh.hot(columns[0])
+    tables[SKEW] = Stored(wh.skew.to_json(), "")
     store.commit(tables, version)
     if export_to:
         for name, order in CSV_REPORTS.items():

@@ -186,6 +186,8 @@ def _momentum(wh: Warehouse, lines: DataFrame, key: Column, name: str) -> DataFr
     ages = F.array(*(F.struct(F.lit(n).alias("age"), F.add_months("_day", -n).alias("day")) for n in (0, 1)))
     two = wh.orders().agg(latest.alias("_day")).select(F.inline(ages))
     months = two.select("age", year_month(F.col("day")).alias("purchase_month"))
+    # The condition always holds; with one Spark takes the trouble to prune files by this table.
+    months = months.where("purchase_month > ''")
     recent = lines.join(F.broadcast(months), "purchase_month")
     age = F.col("age")
     now = exact_sum(F.when(age == 0, cents("item_gmv")).otherwise(0))

@@ -8,6 +8,7 @@ Below one root folder:
 ``tables/<table>/v<n>``        a table as built for version n
 ``manifests/version=<n>``      folder and schema of each table as of version n
 ``batches``                    the number given to each delivery
+``set_aside/batch=<n>``        records of a batch that failed a check, and why
 
 A version becomes current when its manifest is committed, after all of its
 tables are complete: readers see the old tables or the new ones, never a gap.
@@ -96,6 +97,19 @@ class TableStore:
         row.coalesce(1).write.mode("append").parquet(path)
         return batch
 
+    def set_aside(self, batch: int, reason: str) -> None:
+        """Take a batch out of the raw records; it stays below ``set_aside``, with the reason."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        aside = f"{self.root}/set_aside/batch={batch}"
+        self.spark.createDataFrame([(reason,)], "reason string").coalesce(1).write.mode("overwrite").json(
+            f"{aside}/reason"
+        )
+        for dataset in DATASETS:
+            rows = path(f"{self.root}/raw/{dataset}/batch={batch}")
+            if files.exists(rows) and not files.rename(rows, path(f"{aside}/{dataset}")):
+                raise OSError(f"batch {batch} of {dataset} can't be set aside")
+
     # -- tables -------------------------------------------------------------
 
     def write_table(
@@ -152,5 +166,5 @@ class TableStore:
 
 
 def export_csv(df: DataFrame, folder: str) -> None:
-    """A small report as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    """A report as CSV files with headers; read by name they have its order."""
+    df.write.mode("overwrite").option("header", True).csv(folder)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bazaarlake.plans.build import refresh
+from bazaarlake.plans.quality import QualityError
 from bazaarlake.sources.schemas import COLUMNS, raw_columns
 from bazaarlake.sources.storage import TableStore
 
@@ -29,6 +30,12 @@ def _declared() -> Column:
     return chain.otherwise(F.lit(None))
 
 
+def _breaks_a_check() -> Column:
+    """Of the checks between tables and reports, those a single record can fail."""
+    paid = F.col("data")["payment_value"].try_cast("double")
+    return (F.col("dataset") == "order_payments") & (paid < 0)
+
+
 def with_reason(records: DataFrame) -> DataFrame:
     """Why a record is rejected, NULL if it is not."""
     declared = _declared()
@@ -40,6 +47,7 @@ def with_reason(records: DataFrame) -> DataFrame:
         .when(declared.isNull(), F.concat(F.lit("unknown dataset: "), "dataset"))
         .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
         .when(F.size(extra) > 0, F.concat(F.lit("unknown columns: "), F.array_join(extra, ", ")))
+        .when(_breaks_a_check(), F.lit("negative payment"))
     )
     return records.withColumn("reason", reason)
 
@@ -74,7 +82,8 @@ def start(
 ) -> StreamingQuery:
     """Start the ingest; by default it ends when the folder is worked off.
 
-    ``on_refresh`` runs after each rebuild, e.g. ``LiveReports.reload``.
+    ``on_refresh`` runs after each rebuild, e.g. ``LiveReports.reload``. A batch
+    with which a check fails is set aside as a whole, and the stream goes on.
     """
     source = (
         store.spark.readStream.schema(RECORD)
@@ -90,7 +99,12 @@ def start(
         batch = store.batch_of(f"stream {query_id} {epoch}")
         touched = store_batch(store, records, batch)
         if touched:
-            refresh(store, touched)
+            try:
+                refresh(store, touched)
+            except QualityError as error:
+                # The batch would fail again for ever, and later ones with it.
+                store.set_aside(batch, str(error))
+                return
             if on_refresh:
                 on_refresh()
 

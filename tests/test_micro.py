@@ -3,8 +3,10 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 import micro
+from bazaarlake.functions import numeric
 from bazaarlake.operators.filters import SalesFilter
 from bazaarlake.plans import (
     display,
@@ -469,3 +471,26 @@ def test_rank_matches_the_leaderboard(spark):
     assert one(worst)["seller_id"] == "s0"
     text = scores.selectExpr("* EXCEPT (gmv, orders)", "'' AS gmv", "'5' AS orders")
     assert one(sellers.seller_score_lookup(text, "s1"))["gmv"] == 0
+
+
+def test_lines_without_a_price_are_left_out_of_the_mean(spark):
+    wh = micro.warehouse(
+        spark, order_items=micro.rows("order_items", {"price": "100.00", "freight_value": "0"}, {"order_item_id": "2", "price": ""})
+    )
+    assert sales.sales_summary(wh).first()["avg_order_value"] == 100.0
+
+
+def test_unknown_buyers_are_one_person(spark):
+    wh = micro.warehouse(
+        spark,
+        orders=micro.rows("orders", {}, {"order_id": "o2", "customer_id": "nobody"}),
+        order_items=micro.rows("order_items", {}, {"order_id": "o2"}),
+    )
+    assert {r["customer_unique_id"] for r in features.customer_rfm(wh).collect()} >= {None}
+    assert features.cohort_retention(wh).first()["cohort_size"] == 2
+
+
+def test_totals_beyond_a_machine_word(spark):
+    cents = spark.range(40).select(F.lit(9 * 10**17).alias("c"), (F.lit(-7) - F.col("id")).alias("d"))
+    row = cents.agg(numeric.exact_sum(F.col("c")).cast("string").alias("c"), numeric.exact_sum(F.col("d")).alias("d")).first()
+    assert row["c"] == str(40 * 9 * 10**17) and row["d"] == -sum(range(7, 47))

@@ -6,7 +6,7 @@ import os
 import pytest
 
 import micro
-from bazaarlake.plans import build, quality, sales, views
+from bazaarlake.plans import build, measures, quality, sales, sellers, views
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import COLUMNS
 from bazaarlake.sources.storage import TableStore
@@ -108,6 +108,38 @@ def test_failed_check_keeps_the_old_version(spark, store):
     with pytest.raises(quality.QualityError, match="payments_are_non_negative"):
         build.refresh(store, ["order_payments"])
     assert store.version() == 0
+    # Set aside, the batch no longer stands in the way of good ones.
+    store.set_aside(1, "negative payment")
+    good = spark.createDataFrame(micro.rows("sellers", {"seller_id": "s2"}), COLUMNS["sellers"])
+    build.append(store, "sellers", good, confirm=True)
+    build.refresh(store, ["order_payments", "sellers"])
+    assert store.version() == 1 and store.read("dim_sellers").count() == 2
+    assert spark.read.parquet(f"{store.root}/set_aside/batch=1/order_payments").count() == 1
+
+
+def test_stream_goes_on_after_a_bad_batch(spark, tmp_path, store):
+    drop, checkpoint = f"{tmp_path}/drop", f"{tmp_path}/checkpoint"
+    _drop(drop, "a.json", _record("order_items", order_id="nobody's"), _record("order_payments", payment_value="-2"))
+    ingest.start(store, drop, checkpoint).awaitTermination(300)
+    assert store.version() == 0
+    assert [r["reason"] for r in spark.read.json(f"{store.root}/rejected").collect()] == ["negative payment"]
+    assert spark.read.parquet(f"{store.root}/set_aside/batch=1/order_items").count() == 1
+    _drop(drop, "b.json", _record("sellers", seller_id="s2"))
+    ingest.start(store, drop, checkpoint).awaitTermination(300)
+    assert store.version() == 1
+
+
+def test_stored_reports_and_skew_are_read(spark, store):
+    wh = build.open_warehouse(store)
+    assert "order_id" in wh.skew.measured
+    report = wh.report("seller_scores", None)
+    plan = sellers.seller_detail(report, "s1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "order_lines" not in plan and "stg_order_items" not in plan
+
+
+def test_momentum_reads_two_months(spark, store):
+    plan = measures.city_momentum(build.open_warehouse(store))._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
 
 
 def _drop(folder, name, *lines):
