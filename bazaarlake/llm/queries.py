@@ -170,4 +170,79 @@ SQL = {
                          + greatest(0, least(size, goal % source_size - start)) END::BIGINT AS taken
         FROM placed
     """,
+    "op6_quality_rules": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS text FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+                   generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS place
+            FROM docs
+        ), gram AS (
+            SELECT *, lag(word) OVER o = word AS again,
+                   CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN
+                       concat_ws(chr(10), word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o,
+                                 lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o)
+                   END AS eight
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+        ), starts AS (
+            SELECT *, eight IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, eight) > 1 AS repeated FROM gram
+        ), covered AS (
+            SELECT *, max(repeated::INT) OVER (PARTITION BY doc_id ORDER BY place
+                                               ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside
+            FROM starts
+        ), by_words AS (
+            SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars,
+                   sum(inside)::BIGINT AS n_repeat_words, count(*) FILTER (again) AS n_stutter
+            FROM covered GROUP BY doc_id
+        ), by_lines AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), measured AS (
+            SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter,
+                   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+                   length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower
+            FROM docs AS d LEFT JOIN by_words USING (doc_id) LEFT JOIN by_lines USING (doc_id)
+        ), judged AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
+                    OR 2 * n_stutter > n_words OR n_upper > n_lower) AS kept
+        FROM judged
+    """,
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1),
+                                    lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
+            FROM split
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles AS a JOIN shingles AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            JOIN sizes AS x ON x.doc_id = a.doc_id JOIN sizes AS y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n
+            HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON l.a = r.other
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id,
+               d.doc_id = min(r.other) AS kept
+        FROM documents AS d LEFT JOIN sizes AS s ON s.doc_id = d.doc_id JOIN reach AS r ON r.doc_id = d.doc_id
+        GROUP BY d.doc_id, s.n
+    """,
 }
