@@ -65,5 +65,3 @@ def scratch(spark):
 
     return Scratch(spark, "test")
 
-
-FOLDER = "/root/testdata/sf0.001"

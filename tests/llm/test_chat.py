@@ -40,7 +40,9 @@ def test_windows_keep_the_system_turn_the_budget_and_some_history(conversations)
     for r in made:
         assert r.text.startswith("<|turn|>system<|text|>")
         assert r.over_budget == (r.n_tokens > 400)
-    assert any(r.n_context > 1 for r in made)
+    short = [(1, i, "system" if not i else ("user", "assistant")[i % 2], f"turn {i}") for i in range(60)]
+    more = chat.windows(conversations.sparkSession.createDataFrame(short, SCHEMA), 160, 20, 40).collect()
+    assert len(more) > 3 and all(r.n_context > 2 for r in more if r.window > 1)
     targets = sum(len(r.loss) for r in made)
     assert targets == sum(1 for c, _, role, _ in ROWS if c == 1 and role == "assistant")
     for r in made:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bazaarlake.llm import exact, lines, mixing, near, packing, quality, queries, secrets, suffixes
-from conftest import FOLDER  # noqa: F401
 
+FOLDER = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -25,7 +25,7 @@ def bag(rows):
 @pytest.fixture(scope="module", params=["dirty", "clashing", "sf0.001"])
 def docs(request, spark):
     if request.param == "sf0.001":
-        return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+        return spark.read.parquet(f"{FOLDER}/documents.parquet")
     return request.getfixturevalue(request.param)
 
 
