@@ -26,24 +26,27 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         moved = met.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(
             least.select(F.col("_u").alias("u"), F.col("root").alias("v"))
         )
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, root) of every linked node: the smallest node it is connected with. links has a and b.
+    """(node, root) of every linked node that is no root: the smallest node it is connected with.
 
-    Each round is written; the edges shrink to stars in a number of rounds that grows with the logarithm of
-    the longest chain.
+    links has a and b. Each round is written; edges shrink to stars in a number of rounds that grows with
+    the logarithm of the longest chain. What it returns serves as links again.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = scratch.keep(edges, f"{name}0")
-    state, round_ = None, 0
-    while True:
-        # Count and sums tell edge sets apart; both steps leave a set of stars as it is.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        state, round_ = now, round_ + 1
-        edges = scratch.keep(_stars(_stars(edges, True), False), f"{name}{round_}")
+    edges, round_ = scratch.keep(edges, f"{name}0"), 0
+    while not _are_stars(edges):
+        round_ += 1
+        edges = scratch.keep(_stars(_stars(edges, True), False).distinct(), f"{name}{round_}")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import Scratch, batches, id_key, id_of
@@ -165,16 +165,23 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _shared(n: str, m: str) -> str:
+    """How much sets of n and m shingles share at least if they are linked, in SQL."""
+    return f"ceil(({n} + {m}) * {PERCENT} / {100 + PERCENT})"
+
+
 class NearDuplicates:
     """The steps of one run; every step's table is in ``scratch``.
 
     Documents with equal sets are one set from the start. Sets whose signatures agree in a chunk but for one
     symbol share a key. A key may be shared by a third of all sets, so its sets are not paired with each
     other: each is first held against one pivot, the set that shares most keys with others. Confirmed links
-    join sets into components. Only keys that still hold sets of several components go on: there, sets of
-    different components are paired, without those that cannot have a partner. That is told from shingles
-    that no other of these sets has: what a set shares with any other is at most the rest. So no pair that
-    shares a key and is similar enough is left out, and a group of near copies costs no square of its size.
+    join sets into components. Only keys that still hold sets of several components go on. There, sets are
+    looked up by their rarest shingles: two that share as much as a link needs have one of them in common
+    while enough of both is left. Copies with too many changes of their own end there, and shingles under
+    which only one component is left are dropped, before sets of different components are paired. So no pair
+    that shares a key and is similar enough is left out, and a group of near copies costs no square of its
+    size.
     """
 
     def __init__(self, docs: DataFrame, scratch: Scratch) -> None:
@@ -216,7 +223,7 @@ class NearDuplicates:
         )
 
     def links(self) -> DataFrame:
-        """Links (a, b) between sets, enough of them to connect all that are connected."""
+        """Pairs (a, b) of connected sets, enough of them to connect all that are connected."""
         keys = self.sets.select("sid", "signature").mapInArrow(_keys, "key long, sid long")
         shared = self.scratch.keep(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         members = self.scratch.keep(keys.join(shared.hint("merge"), "key"), "members")
@@ -242,13 +249,12 @@ class NearDuplicates:
             .mapInArrow(_packed, "sid long, packed binary"),
             "texts",
         )
-        first = self._verified(tested, texts, "links1")
-        second = self._verified(self._crossing(members, first, texts), texts, "links2")
-        return first.unionByName(second)
+        roots = components(self._verified(tested, texts, "links1"), self.scratch, "first")
+        crossing = self._verified(self._crossing(members, roots, texts), texts, "links2")
+        return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(crossing)
 
-    def _crossing(self, members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    def _crossing(self, members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs of sets that share a key, are in different components and may be similar enough."""
-        roots = components(links, self.scratch, "first")
         placed = members.select("key", "sid").join(
             roots.withColumnRenamed("node", "sid").hint("merge"), "sid", "left"
         ).select("key", "sid", F.coalesce("root", "sid").alias("root"))
@@ -258,39 +264,54 @@ class NearDuplicates:
             "several",
         )
         placed = self.scratch.keep(placed.join(several.hint("merge"), "key"), "open")
-        active = placed.select("sid").distinct()
-        own = (
-            texts.join(active.hint("merge"), "sid")
-            .mapInArrow(_exploded, "shingle long, sid long")
-            .groupBy("shingle")
-            .agg(F.count("*").alias("in_sets"), F.min("sid").alias("sid"))
-            .where("in_sets = 1")
-            .groupBy("sid")
-            .agg(F.count("*").alias("alone"))
+        active = self.scratch.keep(
+            placed.groupBy("sid")
+            .agg(F.first("root").alias("root"))
+            .join(self.sets.select("sid", "n").hint("merge"), "sid"),
+            "active",
         )
-        facts = self.scratch.keep(
-            active.join(self.sets.select("sid", "n").hint("merge"), "sid")
-            .join(own.hint("merge"), "sid", "left")
-            .select("sid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")),
-            "facts",
+        tokens = self.scratch.keep(
+            texts.join(active.select("sid").hint("merge"), "sid").mapInArrow(_exploded, "shingle long, sid long"),
+            "tokens",
         )
-        placed = placed.join(facts.hint("merge"), "sid")
-        smallest = placed.groupBy("key").agg(F.min("n").alias("least"))
-        # The most that a set shares, against the smallest union with a partner of its size or that key.
-        may = F.expr(f"100 * most >= {PERCENT} * (n + greatest(least, cast(ceil(n * {PERCENT} / 100) as long)) - most)")
-        hopeful = self.scratch.keep(placed.join(smallest.hint("merge"), "key").where(may).drop("least"), "hopeful")
-        one = hopeful.select("key", *(F.col(c).alias(f"a_{c}") for c in ("sid", "root", "n", "most")))
-        two = hopeful.select("key", *(F.col(c).alias(f"b_{c}") for c in ("sid", "root", "n", "most")))
-        possible = F.expr(
-            f"a_root < b_root AND 100 * least(a_most, b_most) >= {PERCENT} * (a_n + b_n - least(a_most, b_most))"
+        common = tokens.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1")
+        # Rare shingles first: those of one set alone, whose number is all that matters, then the others.
+        of_set = Window.partitionBy("sid")
+        place = F.row_number().over(of_set.orderBy("in_sets", "shingle")) - 1 - F.count("*").over(of_set)
+        ranked = (
+            tokens.join(common.hint("merge"), "shingle")
+            .withColumn("from_end", place)
+            .join(active.hint("merge"), "sid")
+            # What two sets share from here on is at most what is left of each.
+            .withColumn("left", -F.col("from_end"))
+            .where(F.col("left") >= F.expr(f"ceil(n * {PERCENT} / 100)"))
+            .select("shingle", "sid", "root", "n", "left")
         )
+        postings = self.scratch.keep(ranked, "postings")
+        for round_ in (1, 2):
+            postings = self.scratch.keep(self._hopeful(postings), f"hopeful{round_}")
+        one = postings.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("sid", "root", "n", "left")))
+        two = postings.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("sid", "root", "n", "left")))
+        possible = F.expr(f"a_root < b_root AND least(a_left, b_left) >= {_shared('a_n', 'b_n')}")
         return (
-            one.join(two.hint("merge"), "key")
+            one.join(two.hint("merge"), "shingle")
             .where(possible)
             .select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
             .distinct()
         )
 
+    def _hopeful(self, postings: DataFrame) -> DataFrame:
+        """Sets under a shingle that may be linked with a set of another component there."""
+        others = (
+            postings.groupBy("shingle")
+            .agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo != hi")
+            .select("shingle", "least")
+        )
+        partner = f"greatest(least, cast(ceil(n * {PERCENT} / 100) AS long))"
+        enough = F.expr(f"`left` >= {_shared('n', partner)}")
+        return postings.join(others.hint("merge"), "shingle").where(enough).drop("least")
+
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every document."""
         roots = components(self.links(), self.scratch, "last")
