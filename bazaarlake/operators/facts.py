@@ -11,7 +11,7 @@ largest there are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.casts import MONEY
@@ -107,13 +107,16 @@ def order_heads(core: DataFrame, customers: DataFrame, hot_customer: HotKeys) ->
     return heads.select(*core.columns, *BUYER_COLUMNS)
 
 
+def line_gmv() -> Column:
+    return (F.col("price") + F.col("freight_value")).cast(MONEY)
+
+
 def order_lines(items: DataFrame, heads: DataFrame, hot_order: HotKeys) -> DataFrame:
     """Items with their order's columns; ``heads`` may be core or heads."""
     carried = [c for c in LINE_ORDER_COLUMNS + BUYER_COLUMNS if c in heads.columns]
     head = heads.select("order_id", *carried, F.lit(True).alias("order_known"))
     lines = skew_join(items, head, "order_id", hot_order, order_sized=True)
-    gmv = (F.col("price") + F.col("freight_value")).cast(MONEY)
-    return lines.select(*items.columns, gmv.alias("item_gmv"), *carried, "order_known")
+    return lines.select(*items.columns, line_gmv().alias("item_gmv"), *carried, "order_known")
 
 
 def fct_payments(payments: DataFrame) -> DataFrame:

@@ -42,6 +42,14 @@ TABLES = {name: needs for wave in WAVES for name, needs in wave.items()}
 # Writes submitted together; small tables fill the gaps of large ones.
 CONCURRENT_WRITES = 4
 PARTITIONED = {"order_heads": "purchase_month", "order_lines": "purchase_month"}
+# Keys of point lookups: files are sorted by them and have bloom filters for them.
+LOOKUP = {
+    "order_heads": "order_id",
+    "order_lines": "order_id",
+    "dim_products": "product_id",
+    "seller_scores": "seller_id",
+    "delivery_lanes": "origin_zip",
+}
 
 # Manifest entry that holds the skew profile of the version.
 SKEW = "_skew"
@@ -96,7 +104,9 @@ def _write_all(
     """Write independent tables side by side; the first failure is raised."""
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
         writes = {
-            name: pool.submit(store.write_table, name, df, version, PARTITIONED.get(name))
+            name: pool.submit(
+                store.write_table, name, df, version, PARTITIONED.get(name), LOOKUP.get(name)
+            )
             for name, df in tables.items()
         }
         return {name: write.result() for name, write in writes.items()}

@@ -41,14 +41,19 @@ def filtered_lines(
     buyer: bool = False,
     category: bool = False,
     seller: tuple[str, ...] = (),
+    order: bool = True,
 ) -> DataFrame:
-    """Lines under the order, buyer, seller and product conditions."""
+    """Lines under the order, buyer, seller and product conditions.
+
+    Without ``order`` the caller needs no column of the order.
+    """
     if flt.needs_seller and "seller_state" not in seller:
         seller = (*seller, "seller_state")
     lines = wh.lines(
         buyer=buyer or flt.needs_buyer,
         category=category or flt.needs_category,
         seller=seller,
+        order=order or bool(flt.order_conditions()),
     )
     return where_all(lines, flt.order_conditions() + flt.item_conditions())
 

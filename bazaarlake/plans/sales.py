@@ -311,7 +311,7 @@ def sales_seller_leaderboard(
 def insight_best_category(
     wh: Warehouse, flt: SalesFilter = NO_FILTER, compat: bool = True
 ) -> DataFrame:
-    lines = filtered_lines(wh, flt, category=True)
+    lines = filtered_lines(wh, flt, category=True, order=False)
     if not compat:
         lines = lines.withColumn(CATEGORY, known_category())
     return (

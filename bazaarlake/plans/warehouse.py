@@ -161,10 +161,16 @@ class Warehouse:
         return self.table("order_heads" if buyer else "order_core")
 
     def lines(
-        self, buyer: bool = False, category: bool = False, seller: tuple[str, ...] = ()
+        self,
+        buyer: bool = False,
+        category: bool = False,
+        seller: tuple[str, ...] = (),
+        order: bool = True,
     ) -> DataFrame:
         """Order lines with just the lookups a query asks for.
 
+        Orders are unique, so a query that needs nothing of them goes without.
+
         Lookups come before the order join: they meet rows fresh from the
         scan, and what follows can reuse the partitioning by order.
         """
@@ -183,6 +189,8 @@ class Warehouse:
             items = skew_join(items, sellers, "seller_id", self.hot("seller_id"))
         if stored:
             return items.drop(ROW)
+        if not (order or buyer):
+            return items.withColumn("item_gmv", facts.line_gmv()).drop(ROW)
         return facts.order_lines(items, self.orders(buyer), self.hot("order_id")).drop(ROW)
 
 

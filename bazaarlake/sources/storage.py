@@ -113,14 +113,24 @@ class TableStore:
     # -- tables -------------------------------------------------------------
 
     def write_table(
-        self, table: str, df: DataFrame, version: int, partition_by: str | None = None
+        self,
+        table: str,
+        df: DataFrame,
+        version: int,
+        partition_by: str | None = None,
+        lookup: str | None = None,
     ) -> Stored:
+        """Write a table; rows of a file are in the order of the ``lookup`` key."""
         path = f"{self.root}/tables/{table}/v{version}"
         schema = df.schema.json()
         if partition_by:
             # Even files however uneven the partitions, few files per partition.
             df = df.hint("rebalance", partition_by)
+        if lookup:
+            df = df.sortWithinPartitions(*([partition_by] if partition_by else []), lookup)
         writer = df.write.mode("overwrite")
+        if lookup:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{lookup}", "true")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
