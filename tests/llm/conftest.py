@@ -40,6 +40,15 @@ ROWS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables in few tasks; tests of edges between partitions ask for more."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def dirty(spark):
     return spark.createDataFrame(ROWS, SCHEMA)

@@ -218,6 +218,7 @@ def test_empty_tables(empty, scratch):
 
 def test_long_runs_cross_many_edges(spark, scratch):
     """One line and one passage in most documents, over more partitions than runs have rows for."""
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
     passage = " ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(9))
     data = [(i, f"{'x' * (i % 5)} {i}\na line that all of them share\n{passage}{i % 3}") for i in range(300)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
