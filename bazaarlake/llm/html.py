@@ -184,29 +184,31 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
 
 
 LINES = pa.schema(
-    [("id", pa.int64()), ("copy", pa.int64()), ("hashes", pa.list_(pa.int64())), ("open", pa.bool_())]
+    [(c, pa.int64()) for c in ("id", "copy")]
+    + [(c, pa.string()) for c in ("host", "path")]
+    + [("hashes", pa.list_(pa.int64())), ("open", pa.bool_())]
 )
 
 
 def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for part in parts:
-            for id_, copy, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+            *keys, pages = (part.column(i) for i in range(5))
+            for *key, page in zip(*(k.to_pylist() for k in keys), pages):
                 lines = page_lines(page.as_py())
-                yield id_, copy, [line_hash(t) for t, _ in lines], any(s == UNKNOWN for _, s in lines)
+                yield *key, [line_hash(t) for t, _ in lines], any(s == UNKNOWN for _, s in lines)
 
     yield from batches(rows(), LINES)
 
 
 def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("shared", pa.list_(pa.int32()))])
+    schema = pa.schema([("host", pa.string()), ("digest", pa.string()), ("shared", pa.list_(pa.int32()))])
 
     def rows():
         for part in parts:
-            for id_, copy, own, other in zip(*(part.column(i).to_pylist() for i in range(4))):
-                # Two addresses of one page tell nothing about what is around its text.
-                if own != other and (shared := shared_lines(own, other)):
-                    yield id_, copy, sorted(shared)
+            for host, digest, own, other in zip(*(part.column(i).to_pylist() for i in range(4))):
+                if shared := shared_lines(own, other):
+                    yield host, digest, sorted(shared)
 
     yield from batches(rows(), schema)
 
@@ -236,62 +238,83 @@ def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 HOST, PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
-def main_texts(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """page_id, url, text and n_chars of every page.
-
-    A page becomes lines, one per block of its markup. Pages are ranked by host and path; a page is compared
-    with the next before or after it on its host, whichever address has more in common, and the lines on a
-    longest common subsequence of the two are what the site repeats: they are deleted, unless the markup says
-    that they are the article's own (a line may well be in two articles). Lines in elements that stand
-    around a main text by name, class or role are deleted in any case, and where a page marks its article,
-    so is what lies outside.
+def shared_with_nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, copy, shared) of pages with lines that the markup leaves open: places of lines that their
+    nearest page has too. pages has id, copy, host, path, html.
 
-    Only pages with lines that the markup doesn't decide need their neighbour; addresses and line hashes are
-    ranked and joined, never whole pages. NULL html is an empty page with empty text; NULL urls are a host of
-    their own; NULL ids and repeated rows keep a row each. An empty table gives none.
+    Pages of a host with the same lines are one, as they tell nothing of each other. They are ranked by host
+    and path, and each is held against the one before or after it whose path has more in common. Addresses
+    and line hashes are ranked and joined, never whole pages.
     """
-    page, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
-    rows = pages.select(id_key("page_id").alias("id"), "url", page.alias("html"), F.xxhash64(url, page).alias("copy"))
     hashed = scratch.keep(
-        rows.select("id", "copy", "html").mapInArrow(_hashed, "id long, copy long, hashes array<long>, open boolean"),
+        pages.mapInArrow(_hashed, "id long, copy long, host string, path string, hashes array<long>, open boolean")
+        .withColumn("digest", F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256)),
         "hashed",
     )
-    addresses = rows.select(
-        "id", "copy", F.lower(F.regexp_extract(url, HOST, 1)).alias("host"), F.regexp_extract(url, PATH, 1).alias("path")
+    kinds = scratch.keep(
+        hashed.groupBy("host", "digest").agg(
+            F.min("path").alias("path"), F.max("open").alias("open"), F.first("hashes").alias("hashes")
+        ),
+        "kinds",
     )
     ranked = scratch.keep(
-        global_rank(addresses, [F.col(c) for c in ("host", "path", "id", "copy")], scratch, "addresses"), "ranked"
-    )
-    undecided = ranked.join(hashed.where("open").select("id", "copy").distinct().hint("merge"), ["id", "copy"])
-    beside = ranked.select(
-        F.col("rank").alias("_rank"),
-        F.col("host").alias("_host"),
-        F.col("path").alias("_path"),
-        F.col("id").alias("_id"),
-        F.col("copy").alias("_copy"),
+        global_rank(
+            kinds.select("host", "path", "digest", "open"), [F.col(c) for c in ("host", "path", "digest")], scratch, "places"
+        ),
+        "ranked",
     )
+    beside = ranked.select(*(F.col(c).alias(f"_{c}") for c in ("rank", "host", "path", "digest")))
     alike = F.expr(
-        "size(filter(sequence(1, least(length(path), length(_path))), i -> left(path, i) = left(_path, i)))"
+        "size(filter(sequence(0, least(length(path), length(_path))), i -> left(path, i) = left(_path, i)))"
     )
     nearest = (
-        undecided.withColumn("_to", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)))
+        ranked.where("open")
+        .withColumn("_to", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)))
         .join(beside.hint("merge"), (F.col("_to") == F.col("_rank")) & (F.col("host") == F.col("_host")))
-        .withColumn("alike", F.when((F.length("path") > 0) & (F.length("_path") > 0), alike).otherwise(F.lit(0)))
-        .groupBy("id", "copy")
-        .agg(F.max(F.struct("alike", (-F.col("_to")).alias("first"), "_id", "_copy")).alias("near"))
-        .select("id", "copy", "near._id", "near._copy")
+        .groupBy("host", "digest")
+        .agg(F.max(F.struct(alike.alias("alike"), (-F.col("_to")).alias("first"), "_digest")).alias("near"))
+        .select("host", "digest", F.col("near._digest").alias("other"))
+    )
+    lines = kinds.select("host", "digest", "hashes")
+    others = kinds.select("host", F.col("digest").alias("other"), F.col("hashes").alias("hashes2"))
+    shared = (
+        nearest.join(lines.hint("merge"), ["host", "digest"])
+        .join(others.hint("merge"), ["host", "other"])
+        .select("host", "digest", "hashes", "hashes2")
+        .mapInArrow(_differences, "host string, digest string, shared array<int>")
     )
-    lines = hashed.select("id", "copy", "hashes").dropDuplicates(["id", "copy"])
-    others = lines.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("hashes").alias("other"))
-    shared = scratch.keep(
-        nearest.join(lines.hint("merge"), ["id", "copy"])
-        .join(others.hint("merge"), ["_id", "_copy"])
-        .select("id", "copy", "hashes", "other")
-        .mapInArrow(_differences, "id long, copy long, shared array<int>"),
+    return scratch.keep(
+        hashed.where("open").select("id", "copy", "host", "digest").distinct()
+        .join(shared.hint("merge"), ["host", "digest"])
+        .select("id", "copy", "shared"),
         "shared",
     )
+
+
+def main_texts(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, url, text and n_chars of every page.
+
+    A page becomes lines, one per block of its markup. A page is compared with the nearest other page of its
+    host by path, and the lines on a longest common subsequence of the two are what the site repeats: they
+    are deleted, unless the markup says that they are the article's own (a line may well be in two
+    articles). Lines in elements that stand around a main text by name, class or role are deleted in any
+    case, and where a page marks its article, so is what lies outside.
+
+    Only pages with lines that the markup doesn't decide need their neighbour. NULL html is an empty page
+    with empty text; NULL urls are a host of their own; NULL ids and repeated rows keep a row each. An empty
+    table gives none.
+    """
+    page, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
+    rows = pages.select(id_key("page_id").alias("id"), "url", page.alias("html"), F.xxhash64(url, page).alias("copy"))
+    addressed = rows.select(
+        "id",
+        "copy",
+        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"),
+        F.regexp_extract(F.coalesce("url", F.lit("")), PATH, 1).alias("path"),
+        "html",
+    )
     return (
-        rows.join(shared, ["id", "copy"], "left")
+        rows.join(shared_with_nearest(addressed, scratch), ["id", "copy"], "left")
         .select("id", "url", "html", "shared")
         .mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
         .select(id_of("page_id").alias("page_id"), "url", "text", "n_chars")
