@@ -19,7 +19,7 @@ LENGTH = 400
 GRAM, STARTS = 16, 288
 LEAD = LENGTH - STARTS + 1
 #: Texts, in bytes, that are worked on at once, and bytes in a bucket of suffixes.
-AT_ONCE, BUCKET = 4_000_000, 48_000_000
+AT_ONCE, BUCKET = 1_000_000, 24_000_000
 
 _rng = np.random.default_rng(20_240_301)
 BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,9 +146,8 @@ def multikey_quicksort(leads: list[bytes]) -> np.ndarray:
             order.append(own)
             continue
         key = digits[own, depth]
-        pivot = np.partition(key[:: max(1, len(key) // 31)], len(key[:: max(1, len(key) // 31)]) // 2)[
-            len(key[:: max(1, len(key) // 31)]) // 2
-        ]
+        some = np.sort(key[:: len(key) // 31 + 1])
+        pivot = some[len(some) // 2]
         stack += [(own[key > pivot], depth), (own[key == pivot], depth + 1), (own[key < pivot], depth)]
     return np.concatenate(order) if order else np.zeros(0, np.int64)
 
@@ -162,55 +161,76 @@ FOUND = pa.schema(
 FOUND_DDL = "kind tinyint, hash long, again long, alone boolean, id long, copy long, lo long, hi long"
 
 
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-    yield from zip(edges[::2].tolist(), edges[1::2].tolist())
+def _windows(members: list[int], run: np.ndarray, edge: np.ndarray, held: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
+    """What the windows of some runs tell. run and edge: of each member its run, and whether it is at an edge."""
+    suffixes, ids, copies, los, contexts = held
+    own = [contexts[i] for i in members]
+    lengths = np.array([len(c) for c in own])
+    sizes = lengths - LENGTH + 1
+    which = np.repeat(np.arange(len(own)), sizes)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    data = np.frombuffer(b"".join(own), np.uint8)
+    hashes = Rolling(data).at((np.cumsum(lengths) - lengths)[which] + inner, LENGTH)
+    _, once, back, counts = np.unique(
+        hashes + run[which].astype(np.uint64) * STEP, return_index=True, return_inverse=True, return_counts=True
+    )
+    twice = counts[back] > 1
+    start = np.array([los[i] for i in members], np.int64)
+    id_, copy = (np.array([column[i] for i in members], np.int64) for column in (ids, copies))
+
+    def batch(kind: int, at: np.ndarray, to: np.ndarray, hash_: np.ndarray, again: np.ndarray, alone: np.ndarray):
+        m = which[at]
+        columns = (np.full(len(at), kind, np.int8), hash_, again, alone, id_[m], copy[m], start[m] + inner[at], start[m] + inner[to])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
+
+    new = np.r_[True, which[1:] != which[:-1]]
+    begins = np.flatnonzero(twice & (new | ~np.r_[False, twice[:-1]]))
+    ends = np.flatnonzero(twice & (np.r_[new[1:], True] | ~np.r_[twice[1:], False]))
+    none = np.zeros(len(begins), np.int64)
+    yield batch(REPEATED, begins, ends, none, none, none.astype(bool))
+    if edge.any():
+        lead = {r: suffixes[members[k]] for k, r in enumerate(run.tolist()) if edge[k]}
+        digest = {
+            r: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for r, x in lead.items()
+        }
+        once = once[edge[which[once]]]
+        again = np.array([digest[r] for r in run[which[once]].tolist()], np.int64)
+        yield batch(AT_EDGE, once, once, hashes[once].view(np.int64), again, ~twice[once])
 
 
 def _bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes, and find in each run of equal leads the windows that occur twice."""
-
-    def rows():
-        suffixes, ids, copies, los, contexts = [], [], [], [], []
-        for part in parts:
-            for held, column in zip((suffixes, ids, copies, los, contexts), range(5)):
-                held += part.column(column).to_pylist()
-        if not suffixes:
-            return
-        order = multikey_quicksort(suffixes)
-        first, last = suffixes[order[0]], suffixes[order[-1]]
-        start = 0
-        while start < len(order):
-            stop = start + 1
-            while stop < len(order) and suffixes[order[stop]] == suffixes[order[start]]:
-                stop += 1
+    held: tuple[list, ...] = ([], [], [], [], [])
+    for part in parts:
+        for i, column in enumerate(held):
+            column += part.column(i).to_pylist()
+    suffixes, contexts = held[0], held[4]
+    if not suffixes:
+        return
+    order = multikey_quicksort(suffixes).tolist()
+    edges = (suffixes[order[0]], suffixes[order[-1]])
+    members: list[int] = []
+    run: list[int] = []
+    edge: list[bool] = []
+    start = n = size = 0
+    while start < len(order):
+        lead, stop = suffixes[order[start]], start + 1
+        while stop < len(order) and suffixes[order[stop]] == lead:
+            stop += 1
+        at_edge = lead in edges
+        if stop - start > 1 or at_edge:
             own = order[start:stop]
-            at_edge = suffixes[own[0]] in (first, last)
-            start = stop
-            if len(own) == 1 and not at_edge:
-                continue
-            sizes = np.array([len(contexts[i]) - LENGTH + 1 for i in own])
-            ends = np.cumsum([len(contexts[i]) for i in own])
-            begins = np.r_[0, ends[:-1]]
-            data = np.frombuffer(b"".join(contexts[i] for i in own), np.uint8)
-            which = np.repeat(np.arange(len(own)), sizes)
-            inner = np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            hashes = Rolling(data).at(begins[which] + inner, LENGTH)
-            _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            twice = counts[back] > 1
-            for k, i in enumerate(own):
-                mine = which == k if len(own) < 64 else slice(int(np.searchsorted(which, k)), int(np.searchsorted(which, k, "right")))
-                for lo, hi in _runs(twice[mine]):
-                    yield REPEATED, 0, 0, False, ids[i], copies[i], los[i] + lo, los[i] + hi - 1
-            if at_edge:
-                lead = int.from_bytes(hashlib.blake2b(suffixes[own[0]], digest_size=8).digest(), "little", signed=True)
-                _, once = np.unique(hashes, return_index=True)
-                for j in once.tolist():
-                    i = own[which[j]]
-                    at = los[i] + int(inner[j])
-                    yield AT_EDGE, int(hashes[j].view(np.int64)), lead, not twice[j], ids[i], copies[i], at, at
-
-    yield from batches(rows(), FOUND)
+            members += own
+            run += [n] * len(own)
+            edge += [at_edge] * len(own)
+            size += sum(len(contexts[i]) for i in own)
+            n += 1
+        start = stop
+        if size > AT_ONCE:
+            yield from _windows(members, np.array(run), np.array(edge), held)
+            members, run, edge, size = [], [], [], 0
+    if members:
+        yield from _windows(members, np.array(run), np.array(edge), held)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
