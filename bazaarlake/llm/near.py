@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +16,37 @@ from pyspark.sql import functions as F
 from bazaarlake.llm.common import Scratch, batches, id_key, id_of
 from bazaarlake.llm.components import components
 
-#: Words in a shingle, and the similarity of a link in percent.
-SHINGLE, PERCENT = 3, 85
-#: A signature has CHUNKS chunks of SYMBOLS symbols of 16 bits. Pairs with fewer than 2 * CHUNKS different
-#: symbols have a chunk with one at most, and are found by leaving out each symbol of each chunk in turn. At
-#: 85 % similarity a pair has two in every chunk with a probability of 3e-7.
-CHUNKS, SYMBOLS = 10, 6
-N_SYMBOLS = CHUNKS * SYMBOLS
-#: A pair with more different symbols has 85 % similarity with a probability of 1e-6 at most.
-DISTANCE = 24
+#: Symbols of 16 bits in a signature.
+N_SYMBOLS = 60
+
+
+class Likeness(NamedTuple):
+    """What links two texts, and how such pairs are found.
+
+    A signature has ``chunks`` chunks of ``symbols`` symbols. Pairs with fewer than 2 * chunks different
+    symbols have a chunk with one at most, and are found by leaving out each symbol of each chunk in turn.
+    Pairs with more than ``distance`` different symbols are dropped before their sets are compared.
+    """
+
+    shingle: int  # words
+    percent: int  # of the union
+    chunks: int
+    symbols: int
+    distance: int
+
+
+#: The query's: at 85 % a pair has two different symbols in every chunk with a probability of 3e-7, and more than
+#: 24 of 60 with 6e-7.
+QUERY = Likeness(3, 85, 10, 6, 24)
+#: That of corpora: at 80 % two in every chunk with 1.1e-7, and more than 30 of 60 with 5e-8.
+CORPUS = Likeness(5, 80, 12, 5, 30)
 
 _rng = np.random.default_rng(20_240_229)
 _odd = lambda shape: _rng.integers(0, 2**63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
 MULTIPLY, ADD = _odd(N_SYMBOLS), _odd(N_SYMBOLS)
-KEY = _odd((CHUNKS, SYMBOLS))
-LEFT_OUT = _odd((CHUNKS, SYMBOLS))
-FOLLOW = _odd(SHINGLE)
+KEY = _odd(N_SYMBOLS)
+LEFT_OUT = _odd(N_SYMBOLS)
+FOLLOW = _odd(max(QUERY.shingle, CORPUS.shingle))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,15 +64,15 @@ class WordHashes(dict):
         return h
 
 
-def shingles(text: str, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str, hashes: WordHashes, size: int) -> np.ndarray:
     """The set of a text's shingles as sorted hashes; with fewer words the whole sequence is one."""
     words = text.encode().lower().split()
     coded = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if not len(words):
         return coded
-    n = max(1, len(words) - SHINGLE + 1)
-    rolled = np.full(n, len(words) if len(words) < SHINGLE else 0, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
+    n = max(1, len(words) - size + 1)
+    rolled = np.full(n, len(words) if len(words) < size else 0, np.uint64)
+    for k in range(min(size, len(words))):
         rolled = rolled * FOLLOW[k] + coded[k : k + n]
     return np.unique(mixed(rolled))
 
@@ -75,7 +92,7 @@ DOC = pa.schema(
 AT_ONCE = 4_000_000
 
 
-def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(like: Likeness, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
 
     def rows(held: list[tuple[int, int, np.ndarray]]):
@@ -92,7 +109,7 @@ def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for id_, copy, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                 text = text.as_py()
-                held.append((id_, copy, shingles(text, hashes)))
+                held.append((id_, copy, shingles(text, hashes, like.shingle)))
                 size += len(text)
                 if size > AT_ONCE:
                     yield from rows(held)
@@ -102,30 +119,31 @@ def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(all_rows(), DOC)
 
 
-def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(like: Likeness, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every set under each of its chunks with each symbol left out."""
+    key, left_out = (x.reshape(like.chunks, like.symbols) for x in (KEY, LEFT_OUT))
     for part in parts:
         if not part.num_rows:
             continue
         sids = part.column(0).to_numpy()
-        symbols = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, CHUNKS, SYMBOLS)
-        weighed = mixed(symbols.astype(np.uint64) + KEY) * KEY
+        symbols = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, like.chunks, like.symbols)
+        weighed = mixed(symbols.astype(np.uint64) + key) * key
         rest = weighed.sum(axis=2, keepdims=True, dtype=np.uint64) - weighed
-        keys = mixed(rest + LEFT_OUT).reshape(len(sids), -1)
+        keys = mixed(rest + left_out).reshape(len(sids), -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(sids, keys.shape[1]))], ["key", "sid"]
         )
 
 
-def _close(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in DISTANCE symbols at most."""
+def _close(like: Likeness, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures differ in few enough symbols."""
     for part in parts:
         if not part.num_rows:
             continue
         a, b = (
             np.frombuffer(b"".join(part.column(i).to_pylist()), "<u2").reshape(-1, N_SYMBOLS) for i in (2, 3)
         )
-        near = (a != b).sum(axis=1) <= DISTANCE
+        near = (a != b).sum(axis=1) <= like.distance
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near))
 
 
@@ -135,39 +153,39 @@ def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["sid", "packed"])
 
 
-def _unpacked(packed: bytes, hashes: WordHashes) -> np.ndarray:
+def _unpacked(packed: bytes, hashes: WordHashes, size: int) -> np.ndarray:
     if len(hashes) > 1_000_000:
         hashes.clear()
-    return shingles(zlib.decompress(packed).decode(), hashes)
+    return shingles(zlib.decompress(packed).decode(), hashes, size)
 
 
-def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(like: Likeness, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets are similar enough."""
     hashes, name, first = WordHashes(), None, None
     for part in parts:
         keep = []
         for a, x, y in zip(part.column(0).to_pylist(), part.column(2), part.column(3)):
             if a != name:
-                name, first = a, _unpacked(x.as_py(), hashes)
-            second = _unpacked(y.as_py(), hashes)
+                name, first = a, _unpacked(x.as_py(), hashes, like.shingle)
+            second = _unpacked(y.as_py(), hashes, like.shingle)
             shared = len(np.intersect1d(first, second, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(first) + len(second) - shared))
+            keep.append(100 * shared >= like.percent * (len(first) + len(second) - shared))
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(like: Likeness, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for part in parts:
         for sid, packed in zip(part.column(0).to_pylist(), part.column(1)):
-            own = _unpacked(packed.as_py(), hashes)
+            own = _unpacked(packed.as_py(), hashes, like.shingle)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own.view(np.int64)), pa.array(np.full(len(own), sid, np.int64))], ["shingle", "sid"]
             )
 
 
-def _shared(n: str, m: str) -> str:
+def _shared(n: str, m: str, percent: int) -> str:
     """How much sets of n and m shingles share at least if they are linked, in SQL."""
-    return f"ceil(({n} + {m}) * {PERCENT} / {100 + PERCENT})"
+    return f"ceil(({n} + {m}) * {percent} / {100 + percent})"
 
 
 class NearDuplicates:
@@ -184,12 +202,15 @@ class NearDuplicates:
     size.
     """
 
-    def __init__(self, docs: DataFrame, scratch: Scratch) -> None:
-        self.scratch = scratch
+    def __init__(self, docs: DataFrame, scratch: Scratch, like: Likeness) -> None:
+        self.scratch, self.like = scratch, like
         text = F.coalesce(F.col("text"), F.lit(""))
         self.rows = docs.select(id_key().alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
         self.docs = scratch.keep(
-            self.rows.mapInArrow(_fingerprints, "id long, copy long, set binary, n long, signature binary"), "docs"
+            self.rows.mapInArrow(
+                partial(_fingerprints, like), "id long, copy long, set binary, n long, signature binary"
+            ),
+            "docs",
         )
         self.sets = scratch.keep(
             self.docs.where("n > 0")
@@ -211,20 +232,20 @@ class NearDuplicates:
             pairs.join(side("a", "x").hint("merge"), "a")
             .join(side("b", "y").hint("merge"), "b")
             .select("a", "b", "x", "y")
-            .mapInArrow(_close, "a long, b long"),
+            .mapInArrow(partial(_close, self.like), "a long, b long"),
             f"{name}_close",
         )
         return self.scratch.keep(
             close.join(body("b", "y").hint("merge"), "b")
             .join(body("a", "x").hint("merge"), "a")
             .select("a", "b", "x", "y")
-            .mapInArrow(_linked, "a long, b long"),
+            .mapInArrow(partial(_linked, self.like), "a long, b long"),
             name,
         )
 
     def links(self) -> DataFrame:
         """Pairs (a, b) of connected sets, enough of them to connect all that are connected."""
-        keys = self.sets.select("sid", "signature").mapInArrow(_keys, "key long, sid long")
+        keys = self.sets.select("sid", "signature").mapInArrow(partial(_keys, self.like), "key long, sid long")
         shared = self.scratch.keep(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         members = self.scratch.keep(keys.join(shared.hint("merge"), "key"), "members")
         of_sets = self.scratch.keep(members.groupBy("sid").agg(F.sum("size").alias("weight")), "weights")
@@ -271,7 +292,9 @@ class NearDuplicates:
             "active",
         )
         tokens = self.scratch.keep(
-            texts.join(active.select("sid").hint("merge"), "sid").mapInArrow(_exploded, "shingle long, sid long"),
+            texts.join(active.select("sid").hint("merge"), "sid").mapInArrow(
+                partial(_exploded, self.like), "shingle long, sid long"
+            ),
             "tokens",
         )
         common = tokens.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1")
@@ -284,7 +307,7 @@ class NearDuplicates:
             .join(active.hint("merge"), "sid")
             # What two sets share from here on is at most what is left of each.
             .withColumn("left", -F.col("from_end"))
-            .where(F.col("left") >= F.expr(f"ceil(n * {PERCENT} / 100)"))
+            .where(F.col("left") >= F.expr(f"ceil(n * {self.like.percent} / 100)"))
             .select("shingle", "sid", "root", "n", "left")
         )
         postings = self.scratch.keep(ranked, "postings")
@@ -292,7 +315,7 @@ class NearDuplicates:
             postings = self.scratch.keep(self._hopeful(postings), f"hopeful{round_}")
         one = postings.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("sid", "root", "n", "left")))
         two = postings.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("sid", "root", "n", "left")))
-        possible = F.expr(f"a_root < b_root AND least(a_left, b_left) >= {_shared('a_n', 'b_n')}")
+        possible = F.expr(f"a_root < b_root AND least(a_left, b_left) >= {_shared('a_n', 'b_n', self.like.percent)}")
         return (
             one.join(two.hint("merge"), "shingle")
             .where(possible)
@@ -308,8 +331,8 @@ class NearDuplicates:
             .where("lo != hi")
             .select("shingle", "least")
         )
-        partner = f"greatest(least, cast(ceil(n * {PERCENT} / 100) AS long))"
-        enough = F.expr(f"`left` >= {_shared('n', partner)}")
+        partner = f"greatest(least, cast(ceil(n * {self.like.percent} / 100) AS long))"
+        enough = F.expr(f"`left` >= {_shared('n', partner, self.like.percent)}")
         return postings.join(others.hint("merge"), "shingle").where(enough).drop("least")
 
     def classes(self) -> DataFrame:
@@ -328,14 +351,14 @@ class NearDuplicates:
         )
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, like: Likeness = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
-    Sets of lower-case (A-Z) three-word shingles of whole texts; links at 85 % of the union, confirmed on
-    whole sets; components by smallest id. NULL text and text without words have an empty set and are linked
-    with nothing. NULL ids sort first. Repeated rows are one set; each has its row. An empty table gives none.
+    Sets of lower-case (A-Z) shingles of whole texts, by default of three words; links by default at 85 % of
+    the union, confirmed on whole sets; components by smallest id. NULL text and text without words have an
+    empty set and are linked with nothing. NULL ids sort first. Repeated rows are one set; each has its row. An empty table gives none.
     """
-    return NearDuplicates(docs, scratch).classes().select(
+    return NearDuplicates(docs, scratch, like).classes().select(
         id_of("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         id_of("component").alias("component_id"),
@@ -343,9 +366,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, like: Likeness = QUERY) -> DataFrame:
     """The documents with one of each component, that with the smallest id, and all their columns."""
-    found = NearDuplicates(docs, scratch).classes()
+    found = NearDuplicates(docs, scratch, like).classes()
     first = found.groupBy("component").agg(F.min(F.struct("id", "copy")).alias("first"))
     gone = found.join(first.hint("merge"), "component").where(
         (F.col("n") > 0) & (F.struct("id", "copy") != F.col("first"))

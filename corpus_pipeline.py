@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id."""
-    return near.keep_one(docs, Scratch(tune(spark), "near"))
+    """Of each component of near-duplicates (five words, 80 %) the document with the smallest id."""
+    return near.keep_one(docs, Scratch(tune(spark), "near"), near.CORPUS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
