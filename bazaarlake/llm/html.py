@@ -35,6 +35,11 @@ AROUND_WORDS = frozenset(
     "pagination popup promo promoted promotion related replies reply respond responses share sharing sidebar "
     "sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Of these, words of what readers or advertisers add, of wrappers and of articles themselves.
+READERS = frozenset("comment comments disqus".split())
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement comment reply".split())
+#: A name that begins so (has-sidebar, no-comments) tells what the page is like, not what the element is.
+STATES = frozenset("has have no not with without".split())
 #: A p ends where one of these begins.
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option legend summary".split())
 
@@ -51,37 +56,88 @@ WORDS = re.compile(r"[a-z]+")
 CONTENT, BOILERPLATE, UNKNOWN = 1, 0, 2
 
 
-def around(name: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element stands around the main text; a header or plain list inside it may be part of it."""
+#: What an element is: around the main text, whatever it holds; around it by a form or name that page wrappers
+#: have too; or the main text.
+AROUND_IT, PERHAPS, MAIN_TEXT = 1, 2, 3
+
+
+def element(name: str, attributes: str, in_main: bool) -> int:
+    """What an element is, 0 if nothing; a header or plain list inside a main text may be part of it."""
+    said = 0
     if name in AROUND and not (in_main and name == "header"):
-        return True
-    if not attributes or name in ("html", "body", *MAIN):
-        return False
-    for key, *values in ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if key.lower() in ("hidden", "aria-hidden"):
-            if key.lower() == "hidden" or value == "true":
-                return True
-        elif AROUND_WORDS.intersection(WORDS.findall(value)) and not (in_main and "header" in value):
-            return True
-    return False
+        if name != "form":
+            return AROUND_IT
+        said = PERHAPS
+    article = name in MAIN
+    if attributes and name not in ("html", "body"):
+        for key, *values in ATTRIBUTE.findall(attributes):
+            value = next((v for v in values if v), "").lower()
+            if key.lower() in ("hidden", "aria-hidden"):
+                if not article and (key.lower() == "hidden" or value == "true"):
+                    return AROUND_IT
+                continue
+            if key.lower() == "role" and value == "main":
+                article = True
+            named = [WORDS.findall(v) for v in value.split()]
+            words = {w for ws in named if ws and ws[0] not in STATES for w in ws}
+            if name in MAIN:
+                if NO_ARTICLE & words:
+                    return AROUND_IT
+            elif AROUND_WORDS & words and not (in_main and "header" in value):
+                if READERS & words:
+                    return AROUND_IT
+                said = PERHAPS
+    return said or (MAIN_TEXT if article else 0)
+
+
+def verdicts(lines: list[tuple[str, tuple[int, ...]]], kinds: list[int]) -> list[tuple[str, int]]:
+    """Lines with what the elements around them, by number in ``kinds``, say of them.
+
+    Elements that are perhaps around the main text are wrappers of the page if they hold its largest main
+    element, and that has more text than lies undecided outside; without a main element, if they hold more
+    than half of the text.
+    """
+    sizes: dict[tuple[int, ...], int] = {}
+    held: dict[int, int] = {}
+    undecided = total = 0
+    for text, inside in lines:
+        said = [kinds[e] for e in inside]
+        if AROUND_IT in said:
+            continue
+        total += len(text)
+        for e in inside:
+            held[e] = held.get(e, 0) + len(text)
+        if not said:
+            undecided += len(text)
+        elif said[-1] == MAIN_TEXT:
+            sizes[inside] = sizes.get(inside, 0) + len(text)
+    if sizes:
+        largest = max(sizes, key=lambda inside: sizes[inside])
+        wrappers = set(largest) if sizes[largest] > undecided else set()
+    else:
+        wrappers = {e for e, n in held.items() if 2 * n > total}
+
+    def verdict(inside: tuple[int, ...]) -> int:
+        said = {kinds[e] for e in inside if kinds[e] != PERHAPS or e not in wrappers}
+        if said & {AROUND_IT, PERHAPS}:
+            return BOILERPLATE
+        return CONTENT if said else UNKNOWN
+
+    return [(text, verdict(inside)) for text, inside in lines]
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """The page's blocks as lines of decoded text, white space as one space, with what the markup says."""
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, tuple[int, ...]]] = []
+    kinds: list[int] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, around, main
+    stack: list[tuple[str, int | None]] = []  # name, number in kinds
 
     def end_block() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            if any(a for _, a, _ in stack):
-                said = BOILERPLATE
-            else:
-                said = CONTENT if any(m for _, _, m in stack) else UNKNOWN
-            lines.append((text, said))
+            lines.append((text, tuple(e for _, e in stack if e is not None)))
 
     def pop_to(at: int) -> None:
         end_block()
@@ -91,7 +147,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     while True:
         token = TOKEN.search(page, at)
         plain = page[at : token.start() if token else len(page)]
-        if plain and not any(n in NO_TEXT for n, _, _ in stack):
+        if plain and not any(n in NO_TEXT for n, _ in stack):
             words.append(html.unescape(plain))
         if token is None:
             break
@@ -103,8 +159,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         name = token["name"].lower()
         if token["close"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name in BLOCKS or not any(n in BLOCKS for n, _, _ in stack[depth + 1 :])):
-                if name in BLOCKS or stack[depth][1]:
+            if depth is not None and (name in BLOCKS or not any(n in BLOCKS for n, _ in stack[depth + 1 :])):
+                if name in BLOCKS or stack[depth][1] is not None:
                     pop_to(depth)
                 else:
                     del stack[depth:]
@@ -126,17 +182,19 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             end_block()
         if name in VOID or token["rest"].rstrip().endswith("/"):
             continue
-        in_main = any(m for _, _, m in stack)
-        is_around = around(name, token["rest"], in_main)
-        if is_around and name not in BLOCKS:
+        in_main = any(e is not None and kinds[e] == MAIN_TEXT for _, e in stack)
+        kind = element(name, token["rest"], in_main)
+        if kind and name not in BLOCKS:
             end_block()
         if name in RAW:
             close = RAW[name].search(page, at)
             at = close.end() if close else len(page)
             continue
-        stack.append((name, is_around, name in MAIN or (not is_around and 'role="main"' in token["rest"])))
+        if kind:
+            kinds.append(kind)
+        stack.append((name, len(kinds) - 1 if kind else None))
     end_block()
-    return lines
+    return verdicts(lines, kinds)
 
 
 # -- differences between pages --------------------------------------------------------------------------
@@ -222,12 +280,11 @@ def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()
             ):
                 lines = page_lines(page.as_py())
-                has_main = any(s == CONTENT for _, s in lines)
                 gone = set(shared or ())
                 kept = [
                     t
                     for i, (t, said) in enumerate(lines)
-                    if said == CONTENT or (said == UNKNOWN and not has_main and i not in gone)
+                    if said == CONTENT or (said == UNKNOWN and i not in gone)
                 ]
                 text = "\n".join(kept)
                 yield id_, url, text, len(text)
@@ -298,7 +355,7 @@ def main_texts(pages: DataFrame, scratch: Scratch) -> DataFrame:
     host by path, and the lines on a longest common subsequence of the two are what the site repeats: they
     are deleted, unless the markup says that they are the article's own (a line may well be in two
     articles). Lines in elements that stand around a main text by name, class or role are deleted in any
-    case, and where a page marks its article, so is what lies outside.
+    case, unless these are wrappers of the page (``verdicts``).
 
     Only pages with lines that the markup doesn't decide need their neighbour. NULL html is an empty page
     with empty text; NULL urls are a host of their own; NULL ids and repeated rows keep a row each. An empty
