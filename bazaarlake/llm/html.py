@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -204,6 +207,67 @@ def line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def aligned(x: list[int], y: list[int]) -> Iterator[int]:
+    """Places in x on a longest common subsequence with y, from the last to the first.
+
+    A row of the table of lengths is a number with a bit for each step from one length to the next. Rows are
+    kept at every root of their number, and those between are made again on the way back, so memory grows
+    with the lines times that root, in bits.
+    """
+    full, at = (1 << len(y)) - 1, defaultdict(list)
+    for j, q in enumerate(y):
+        at[q].append(j)
+
+    @lru_cache(256)
+    def mask(p: int) -> int:
+        bits = bytearray(len(y) // 8 + 1)
+        for j in at[p]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    def below(row: int, p: int) -> int:
+        # Bits that are not set are steps.
+        hit = row & mask(p)
+        return ((row + hit) | (row - hit)) & full
+
+    every = isqrt(len(x)) + 1
+    kept, row = [full], full
+    for i, p in enumerate(x, 1):
+        row = below(row, p)
+        if i % every == 0:
+            kept.append(row)
+    rows: list[int] = []
+    first = len(x) + 1  # number of the first of rows
+
+    def lengths(i: int) -> int:
+        nonlocal rows, first
+        if i < first:
+            first = i // every * every
+            rows = [kept[first // every]]
+            for p in x[first : min(first + every, len(x) + 1) - 1]:
+                rows.append(below(rows[-1], p))
+        return rows[i - first] ^ full
+
+    i, j = len(x), len(y)
+    here = lengths(i)
+    length = here.bit_count()
+    while i and j:
+        above = lengths(i - 1)
+        over = (above & ((1 << j) - 1)).bit_count()
+        while j and x[i - 1] != y[j - 1] and over < length:
+            j -= 1
+            length -= here >> j & 1
+            over -= above >> j & 1
+        if not j:
+            return
+        i -= 1
+        if x[i] == y[j - 1]:
+            yield i
+            j -= 1
+            over -= above >> j & 1
+        here, length = above, over
+
+
 def shared_lines(own: list[int], other: list[int]) -> set[int]:
     """Places in ``own`` on a longest common subsequence with ``other``.
 
@@ -223,21 +287,7 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     x, y = [a[i] for i in places], [z for z in b if z in both]
     if not x:
         return common
-    table = [[0] * (len(y) + 1)]
-    for p in x:
-        row, above = [0], table[-1]
-        for j, q in enumerate(y):
-            row.append(above[j] + 1 if p == q else max(above[j + 1], row[j]))
-        table.append(row)
-    i, j = len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1] and table[i][j] == table[i - 1][j - 1] + 1:
-            common.add(head + places[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] >= table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    common.update(head + places[i] for i in aligned(x, y))
     return common
 
 
