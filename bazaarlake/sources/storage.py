@@ -8,7 +8,8 @@ Below one root folder:
 ``tables/<table>/v<n>``        a table as built for version n
 ``manifests/version=<n>``      folder and schema of each table as of version n
 ``batches``                    the number given to each delivery
-``set_aside/batch=<n>``        records of a batch that failed a check, and why
+``set_aside/batch=<n>``        records of a batch that failed a check, and why, or all
+                               records that wait for others since a stream's batch
 
 A version becomes current when its manifest is committed, after all of its
 tables are complete: readers see the old tables or the new ones, never a gap.
@@ -60,8 +61,8 @@ class TableStore:
         path = f"{self.root}/raw/{dataset}/batch={batch}"
         numbered.write.mode("overwrite").parquet(path)
 
-    def raw(self, dataset: str, before_batch: int | None = None) -> DataFrame:
-        """All records of a dataset, or those from before a batch."""
+    def raw(self, dataset: str, before_batch: int | None = None, without_batch: int | None = None) -> DataFrame:
+        """All records of a dataset, or those from before a batch, or those of other batches."""
         schema = T.StructType(raw_schema(dataset).fields)
         schema.add(_ROW, T.LongType()).add("batch", T.LongType())
         try:
@@ -73,6 +74,8 @@ class TableStore:
             rows = self.spark.createDataFrame([], schema)
         if before_batch is not None:
             rows = rows.filter(F.col("batch") < before_batch)
+        if without_batch is not None:
+            rows = rows.filter(F.col("batch") != without_batch)
         order = F.struct("batch", _ROW).alias(INGEST_SEQ)
         return rows.select(*raw_columns(dataset), order)
 
@@ -97,11 +100,40 @@ class TableStore:
         row.coalesce(1).write.mode("append").parquet(path)
         return batch
 
+    def _files(self):
+        """Hadoop's Path and the file system of the store."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write_waiting(self, dataset: str, rows: DataFrame, batch: int) -> None:
+        """All records of a dataset that wait for others after a batch, each with the reason."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/set_aside/batch={batch}/{dataset}")
+
+    def waiting(self, before_batch: int, datasets: list[str]) -> dict[str, DataFrame]:
+        """Records that waited after the last batch before this one; none if that left nothing written."""
+        path, files = self._files()
+        top = path(f"{self.root}/set_aside")
+        if not files.exists(top):
+            return {}
+        # A batch that was set aside as a whole has its reason in a folder.
+        batches = [
+            int(name.removeprefix("batch="))
+            for f in files.listStatus(top)
+            if (name := f.getPath().getName()).startswith("batch=") and not files.exists(path(f"{self.root}/set_aside/{name}/reason"))
+        ]
+        last = max((b for b in batches if b < before_batch), default=None)
+        if last is None:
+            return {}
+        return {
+            d: self.spark.read.schema(raw_schema(d)).parquet(f"{self.root}/set_aside/batch={last}/{d}") for d in datasets
+        }
+
     def set_aside(self, batch: int, reason: str) -> None:
         """Take a batch out of the raw records; it stays below ``set_aside``, with the reason."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, files = self._files()
         aside = f"{self.root}/set_aside/batch={batch}"
+        if files.exists(path(aside)) and not files.exists(path(f"{aside}/reason")):
+            raise OSError(f"records of batch {batch} wait in {aside}")
         self.spark.createDataFrame([(reason,)], "reason string").coalesce(1).write.mode("overwrite").json(
             f"{aside}/reason"
         )

@@ -2,21 +2,22 @@
 
 Records arrive as JSON lines ``{"dataset": ..., "data": {column: text}}`` in a
 drop folder. Each micro-batch is split into valid records, which become a raw
-batch, and rejects, which are kept with a reason; then everything downstream
-of the datasets touched is rebuilt. A batch that is run again replaces its own
-records and rebuilds the same tables.
+batch, rejects, which are kept with a reason, and orders and items whose parent
+has not come yet. These wait and are judged again with every later batch; then
+everything downstream of the datasets touched is rebuilt. A batch that is run
+again replaces its own records and rebuilds the same tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bazaarlake.plans.build import refresh
-from bazaarlake.plans.quality import QualityError
 from bazaarlake.sources.schemas import COLUMNS, raw_columns
 from bazaarlake.sources.storage import TableStore
 
@@ -52,12 +53,90 @@ def with_reason(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", reason)
 
 
+# Key of a dataset, and the dataset and column it refers to, as the quality checks have them; parents first.
+KEYS = {"customers": "customer_id", "orders": "order_id"}
+PARENTS = {"orders": ("customers", "customer_id"), "order_items": ("orders", "order_id")}
+
+
+def _filled(name: str) -> Column:
+    return F.nullif(F.col("data")[name], F.lit(""))
+
+
+def _related(store: TableStore, judged: DataFrame, batch: int) -> DataFrame:
+    """Valid records with a reason if their key is missing or taken, and ``waits`` if their parent is unknown."""
+    judged = judged.withColumn("waits", F.lit(False))
+    for dataset in ("customers", "orders", "order_items"):
+        own = F.col("reason").isNull() & (F.col("dataset") == dataset)
+        if dataset in PARENTS:
+            parent, column = PARENTS[dataset]
+            known = store.raw(parent, without_batch=batch).select(F.nullif(column, F.lit("")).alias("_parent"))
+            new = judged.filter((F.col("dataset") == parent) & F.col("reason").isNull() & ~F.col("waits"))
+            known = known.unionByName(new.select(_filled(column).alias("_parent"))).distinct()
+            judged = judged.withColumn("_wants", F.when(own, _filled(column))).join(
+                known.withColumn("_known", F.lit(True)), F.col("_wants") == F.col("_parent"), "left"
+            )
+            judged = judged.withColumn(
+                "reason", F.when(own & F.col("_wants").isNull(), F.lit(f"no {column}")).otherwise(F.col("reason"))
+            ).withColumn("waits", F.col("waits") | (own & F.col("_wants").isNotNull() & F.col("_known").isNull()))
+            judged = judged.drop("_wants", "_parent", "_known")
+        if dataset in KEYS:
+            column = KEYS[dataset]
+            taken = store.raw(dataset, without_batch=batch).select(F.nullif(column, F.lit("")).alias("_taken")).distinct()
+            judged = judged.withColumn("_key", F.when(own, _filled(column))).join(
+                taken, F.col("_key") == F.col("_taken"), "left"
+            )
+            # Rows without a key are of other datasets, or rejected anyway: each is a group of its own.
+            group = F.coalesce("_key", F.concat(F.lit("\0"), F.col("_at").cast("string")))
+            first = F.row_number().over(Window.partitionBy(group).orderBy("waits", "_at")) == 1
+            reason = (
+                F.when(own & F.col("_key").isNull(), F.lit(f"no {column}"))
+                .when(own & (F.col("_taken").isNotNull() | ~first), F.lit(f"repeated {column}"))
+                .otherwise(F.col("reason"))
+            )
+            judged = judged.withColumn("reason", reason).drop("_key", "_taken")
+    return judged
+
+
+def _waiting(store: TableStore, batch: int) -> DataFrame | None:
+    """Records that waited when a batch came."""
+    found = store.waiting(batch, list(PARENTS))
+    if not found:
+        return None
+    parts = []
+    for dataset, rows in found.items():
+        columns = raw_columns(dataset)
+        data = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*columns))
+        parts.append(
+            rows.select(F.lit(dataset).alias("dataset"), data.alias("data"), F.lit(None).cast("string").alias("_unreadable"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def store_batch(store: TableStore, records: DataFrame, batch: int) -> list[str]:
     """Write one batch of records; returns the datasets that got some."""
-    judged = with_reason(records).persist()
+    earlier = _waiting(store, batch)
+    if earlier is not None:
+        records = earlier.unionByName(records)
+    judged = with_reason(records).withColumn("_at", F.monotonically_increasing_id()).persist()
+    related = judged
     try:
-        valid = judged.filter("reason IS NULL")
-        judged.filter("reason IS NOT NULL").write.mode("overwrite").json(
+        if judged.filter(F.col("reason").isNull() & F.col("dataset").isin(*KEYS, *PARENTS)).isEmpty():
+            related = judged.withColumn("waits", F.lit(False))
+        else:
+            related = _related(store, judged, batch).persist()
+        waits = related.filter("reason IS NULL AND waits")
+        valid = related.filter("reason IS NULL AND NOT waits")
+        if earlier is not None or not waits.isEmpty():
+            for dataset, (parent, _) in PARENTS.items():
+                store.write_waiting(
+                    dataset,
+                    waits.filter(F.col("dataset") == dataset).select(
+                        *(F.col("data")[c].alias(c) for c in raw_columns(dataset)),
+                        F.lit(f"waits for its record in {parent}").alias("reason"),
+                    ),
+                    batch,
+                )
+        related.filter("reason IS NOT NULL").drop("waits", "_at").write.mode("overwrite").json(
             f"{store.root}/rejected/batch={batch}"
         )
         # At most one value per dataset, of which there are nine.
@@ -69,6 +148,7 @@ def store_batch(store: TableStore, records: DataFrame, batch: int) -> list[str]:
             store.write_raw(dataset, rows, batch)
         return touched
     finally:
+        related.unpersist()
         judged.unpersist()
 
 
@@ -82,8 +162,10 @@ def start(
 ) -> StreamingQuery:
     """Start the ingest; by default it ends when the folder is worked off.
 
-    ``on_refresh`` runs after each rebuild, e.g. ``LiveReports.reload``. A batch
-    with which a check fails is set aside as a whole, and the stream goes on.
+    ``on_refresh`` runs after each rebuild, e.g. ``LiveReports.reload``. Records
+    that would fail a check never come in. If one fails nevertheless, the fault
+    is in earlier raw records: the stream ends with the error, and takes its
+    batch up again when it is started after their repair.
     """
     source = (
         store.spark.readStream.schema(RECORD)
@@ -99,12 +181,7 @@ def start(
         batch = store.batch_of(f"stream {query_id} {epoch}")
         touched = store_batch(store, records, batch)
         if touched:
-            try:
-                refresh(store, touched)
-            except QualityError as error:
-                # The batch would fail again for ever, and later ones with it.
-                store.set_aside(batch, str(error))
-                return
+            refresh(store, touched)
             if on_refresh:
                 on_refresh()
 
