@@ -17,9 +17,6 @@ from bazaarlake.llm.packing import pack
 from bazaarlake.llm.quality import ledger, verdicts
 from bazaarlake.llm.secrets import report, scan
 from bazaarlake.llm.suffixes import repeated_spans
-from bazaarlake.llm.quality import ledger, verdicts
-from bazaarlake.llm.secrets import report, scan
-from bazaarlake.llm.suffixes import repeated_spans
 from bazaarlake.session import tune
 
 
@@ -64,12 +61,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
-def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = verdicts(ledger(table(tune(spark), sf_dir, "documents")))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", "kept")
-
-
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op7")))
 
@@ -79,7 +70,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op9")).drop("spans")
+    return repeated_spans(table(tune(spark), sf_dir, "documents"), Scratch(spark, "op9"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +88,6 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extraction": op10_html_extraction,
-    "op6_quality_rules": op6_quality_rules,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-    "op9_suffix_dedup": op9_suffix_dedup,
-    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {

@@ -107,18 +107,18 @@ def secrets(text):
     return (*counts, sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))))
 
 
-def shingles(text):
+def shingles(text, width=3):
     words = WORD.findall((text or "").translate(LOWER))
-    if len(words) < 3:
+    if len(words) < width:
         return frozenset([tuple(words)] if words else [])
-    return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 
 
-def near(rows, percent=85):
+def near(rows, percent=85, width=3):
     """(doc_id, n_shingles, component_id), all pairs of sets compared."""
     members = defaultdict(list)
     for doc_id, text in rows:
-        members[shingles(text)].append(key(doc_id))
+        members[shingles(text, width)].append(key(doc_id))
     sets = [s for s in members if s]
     root = list(range(len(sets)))
 
@@ -142,7 +142,7 @@ def near(rows, percent=85):
     name = {s: least[find(i)] for i, s in enumerate(sets)}
     out = []
     for doc_id, text in rows:
-        s = shingles(text)
+        s = shingles(text, width)
         component = name[s] if s else key(doc_id)
         out.append((doc_id, len(s), None if component == LOWEST else component))
     return out

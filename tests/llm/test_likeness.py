@@ -4,31 +4,17 @@ import random
 
 import brute
 import corpus_pipeline
-import pytest
 from bazaarlake.llm import near
 from test_documents import bag, check_packing
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.fixture
-def five(monkeypatch):
-    """Brute force with shingles of five words."""
-
-    def shingles(text):
-        words = brute.WORD.findall((text or "").translate(brute.LOWER))
-        if len(words) < 5:
-            return frozenset([tuple(words)] if words else [])
-        return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-
-    monkeypatch.setattr(brute, "shingles", shingles)
-
-
 def edited(words, places):
     return " ".join(f"new{i}" if i in places else w for i, w in enumerate(words))
 
 
-def test_corpus_likeness(spark, scratch, five):
+def test_corpus_likeness(spark, scratch):
     random.seed(5)
     data = []
     for i in range(60):
@@ -38,14 +24,14 @@ def test_corpus_likeness(spark, scratch, five):
         data += [(2 * i, " ".join(words)), (2 * i + 1, edited(words, places))]
     data += [(200, "a b c d"), (201, "A B C d"), (202, None), (203, "a b c")]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    want = brute.near(data, 80)
+    want = brute.near(data, 80, 5)
     found = near.near_duplicates(docs, scratch, near.CORPUS).collect()
     assert bag((r.doc_id, r.n_shingles, r.component_id) for r in found) == bag(want)
     kept = near.keep_one(docs, type(scratch)(spark, "kept"), near.CORPUS)
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
 
 
-def test_stage_links_at_five_words_and_80_percent(spark, five):
+def test_stage_links_at_five_words_and_80_percent(spark):
     words = [f"w{k}" for k in range(200)]
     others = [f"v{k}" for k in range(200)]
     data = [
@@ -59,13 +45,13 @@ def test_stage_links_at_five_words_and_80_percent(spark, five):
     assert {r.doc_id for r in stage(spark, docs, FOLDER).collect()} == {1, 3, 4}
 
 
-def test_stages_after_it(spark, scratch, five):
+def test_stages_after_it(spark, scratch):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
         out.append(scratch.keep(stage(spark, out[-1], FOLDER), f"stage_{name}"))
     *_, distinct, apart, mixed, packed = out
-    want = {c for _, _, c in brute.near([(r.doc_id, r.text) for r in distinct.select("doc_id", "text").collect()], 80)}
+    want = {c for _, _, c in brute.near([(r.doc_id, r.text) for r in distinct.select("doc_id", "text").collect()], 80, 5)}
     assert {r.doc_id for r in apart.collect()} == want and apart.count() == len(want)
     sizes = brute.targets([tuple(r) for r in apart.select("doc_id", "text", "source").collect()])
     words = {}

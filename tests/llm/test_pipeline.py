@@ -36,7 +36,8 @@ def test_every_stage_works_on_what_is_left(stages):
     kept = {t: max(i for i, u in texts(good) if u == t) for _, t in left}
     assert texts(distinct) == sorted((i, t) for t, i in kept.items())
 
-    ids = {c for _, n, c in brute.near([(r.doc_id, r.text) for r in distinct.select("doc_id", "text").collect()])}
+    pairs = [(r.doc_id, r.text) for r in distinct.select("doc_id", "text").collect()]
+    ids = {c for _, n, c in brute.near(pairs, percent=80, width=5)}
     assert {r.doc_id for r in apart.select("doc_id").collect()} == ids and apart.count() == len(ids)
 
     sizes = brute.targets([tuple(r) for r in apart.select("doc_id", "text", "source").collect()])
