@@ -10,13 +10,16 @@ from bazaarlake.llm.chat import conversation_digests, windows
 from bazaarlake.llm.common import Scratch, id_of, table
 from bazaarlake.llm.exact import radix_groups
 from bazaarlake.llm.html import main_texts
+from bazaarlake.llm.language import identify
 from bazaarlake.llm.lines import keep_bitmaps, kept_digests
 from bazaarlake.llm.mixing import mix
 from bazaarlake.llm.near import near_duplicates
 from bazaarlake.llm.packing import pack
 from bazaarlake.llm.quality import ledger, verdicts
+from bazaarlake.llm.search import search
 from bazaarlake.llm.secrets import report, scan
 from bazaarlake.llm.suffixes import repeated_spans
+from bazaarlake.llm.trie import prefix_trie
 from bazaarlake.session import tune
 
 
@@ -77,6 +80,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(tune(spark), sf_dir, "pages"), Scratch(spark, "op10"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(tune(spark), sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(tune(spark), sf_dir, name) for name in ("documents", "benchmark"))
+    return search(docs, items, Scratch(spark, "op12"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie(
+        table(tune(spark), sf_dir, "conversations"),
+        Scratch(spark, "op13"),
+        base=conv - conv % 5,
+        history=F.crc32(conv.cast("string")) % 9,
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,6 +110,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_language_id": op11_language_id,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -231,4 +256,86 @@ SQL = {
         FROM documents AS d LEFT JOIN sizes AS s ON s.doc_id = d.doc_id JOIN reach AS r ON r.doc_id = d.doc_id
         GROUP BY d.doc_id, s.n
     """,
+    "op12_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), lengths AS (
+            SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+        ), corpus AS (
+            SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+        ), normed AS (
+            SELECT doc_id, 10 + 90 * n * docs // terms AS m FROM lengths, corpus
+        ), counted AS (
+            SELECT doc_id, term, count(*) AS tf FROM words
+            WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counted, corpus GROUP BY term
+        ), scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN normed USING (doc_id)
+            GROUP BY item_id, doc_id
+        )
+        SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 10
+    """,
+    "op13_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role,
+                   sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS code,
+                   octet_length(encode(coalesce(text, '')))::BIGINT AS size
+            FROM conversations
+        ), own AS (
+            SELECT conv_id, list({'code': code, 'size': size} ORDER BY turn NULLS FIRST, role, code) AS turns
+            FROM turns GROUP BY conv_id
+        ), history AS (
+            SELECT *, xor(list_reduce(
+                       flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                                              lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                         WHEN a % 2 = 1 THEN xor(a // 2, 3988292384)
+                                         ELSE a // 2 END, 4294967295), 4294967295) % 9 AS h
+            FROM own
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []),
+                                          list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+            FROM history AS c LEFT JOIN own AS b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), paths AS (
+            SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+        ), members AS (
+            SELECT conv_id, depth, len(turns) = depth AS ends,
+                   array_to_string(list_transform(list_slice(turns, 1, depth), lambda t: t.code), ',') AS key,
+                   array_to_string(list_transform(list_slice(turns, 1, depth - 1), lambda t: t.code), ',') AS parent,
+                   CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size
+            FROM paths
+        ), nodes AS (
+            SELECT key, depth, CASE WHEN depth > 0 THEN any_value(parent) END AS parent, min(conv_id) AS conv_id,
+                   count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY key, depth
+        ), children AS (
+            SELECT parent AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent
+        ), below AS (
+            SELECT DISTINCT a.key, d.key AS other
+            FROM members AS a JOIN members AS d ON a.conv_id = d.conv_id AND a.depth <= d.depth
+        ), summed AS (
+            SELECT b.key, sum(o.saved)::BIGINT AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+            FROM below AS b JOIN nodes AS o ON o.key = b.other LEFT JOIN children AS c ON c.key = b.other
+            GROUP BY b.key
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+               s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes AS n JOIN summed AS s ON s.key = n.key
+        LEFT JOIN children AS c ON c.key = n.key LEFT JOIN nodes AS p ON p.key = n.parent
+    """,
 }
