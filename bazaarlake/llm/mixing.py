@@ -81,7 +81,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
     The 2^k points of the van der Corput sequence are the numbers below 2^k with their bits reversed, so
     each source owns a run of points as long as its share of the slots, and its slots are the reversed
-    points. Runs are made in pieces, so a source with a third of the slots is made by many tasks. Ranked by
+    points. Runs are made in pieces that are dealt out to all tasks, so no source's slots are made by one. Ranked by
     slot, the first ``slots`` of a source read its blocks in turn, again from the first after the last.
     Every prefix of the slots is close to the shares.
     """
@@ -98,6 +98,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     points = (
         owned.withColumn("_piece", F.explode(F.expr(f"sequence(_from, greatest(_from, _to - 1), {PIECE}L)")))
+        # A fixed number, as the pieces are few bytes but stand for PIECE rows each.
+        .repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_piece")
         .withColumn("_point", F.explode(F.expr(f"sequence(_piece, least(_to, _piece + {PIECE}L) - 1)")))
         .withColumn("slot", F.expr("cast(conv(reverse(lpad(bin(_point), _bits, '0')), 2, 10) as long)"))
         .withColumn("_time", F.expr(f"slot div {PIECE}"))
@@ -196,8 +198,8 @@ def mix(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
 def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """The documents as the mix reads them, with all their columns: one row for each reading.
 
-    The last reading of one document of a source may end inside it; that row has its first words, with one
-    space between, and its own n_chars. Documents of which nothing is read, or without words, have no row.
+    The last reading of one document of a source may end inside it; that row has the text up to the end of the
+    last word that is read, white space as it is, and its own n_chars. Documents of which nothing is read, or without words, have no row.
     """
     decided = scratch.keep(
         mix(docs, scratch, block)
@@ -221,9 +223,9 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Da
         .withColumn("reading", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
         .withColumn("words", F.expr("least(size, taken - reading * size)"))
     )
-    some = F.array_join(
-        F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " "
-    )
+    # Each word with the white space before it: together they are the text up to its last word.
+    worded = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    some = F.array_join(F.slice(worded, F.lit(1), F.col("words").cast("int")), "")
     part = F.col("words") < F.col("size")
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["text"] = F.when(part, some).otherwise(columns["text"])

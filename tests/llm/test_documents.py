@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from bazaarlake.llm import exact, lines, mixing, near, packing, quality, queries, secrets, suffixes
 
 FOLDER = "/root/testdata/sf0.001"
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -78,6 +79,26 @@ def test_mixed_documents(docs, scratch):
     assert words == pytest.approx(sum(int(t) for _, t in brute.targets(docs.select("doc_id", "text", "source").collect()).values()), abs=200)
 
 
+def test_mix_cuts_where_a_word_ends(spark, scratch):
+    texts = {i: f"\t a{i}  b\n\nc\x0b d{i}\r\n e " * (i + 1) for i in range(12)}
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in texts.items()], DOCUMENT)
+    found = mixing.mixed_documents(docs, scratch, block=16).collect()
+    parts = [r for r in found if r.text != texts[r.doc_id]]
+    assert all(texts[r.doc_id].startswith(r.text) and r.text and not r.text[-1].isspace() for r in parts)
+    assert 0 < len(parts) <= 2 and all(r.n_chars == len(r.text) for r in parts)
+
+
+def test_slots_are_made_by_many_tasks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    targets = spark.createDataFrame([("a", 4000, 9000.0), ("b", 900, 700.0)], "source string, source_size long, target double")
+    slots = mixing.schedule(targets, block=2)
+    assert "REPARTITION_BY_NUM" in slots._jdf.queryExecution().toString()
+    of = slots.groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+    assert {r.source: r.n for r in of} == {"a": 9000, "b": 700}
+    assert slots.select("slot").distinct().count() == slots.count()
+
+
+
 def test_quality(docs, rows):
     ledger = quality.ledger(docs)
     found = quality.verdicts(ledger).collect()
