@@ -1,10 +1,11 @@
 """Joins that survive a key holding a large share of the rows.
 
-A profile of the few keys that dominate a column is measured once per table
-with a mergeable frequent-items sketch (one scan of the key columns, a few
-values per shuffle partition back). What counts as hot follows the size of a
-task: a key with more rows than half a task has on average is salted, with as
-many salts as it fills half tasks. The profile only decides which rows are
+A profile of the few keys that dominate a column is measured once per table:
+rows are counted by ranges of the key's hash, and keys only inside ranges that
+hold more than half a task, which without a hot key are none. Counts are exact
+and stay on the executors, whatever the number of tasks. What counts as hot
+follows the size of a task: a key with more rows than half a task has on
+average is salted, with as many salts as it fills half tasks. The profile only decides which rows are
 salted: the result of a join is the same whatever it contains.
 """
 
@@ -17,8 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Items a sketch follows for each key it may report.
-SKETCH_FACTOR = 8
+# Hash ranges for each half task: an even range has an eighth of one.
+RANGES = 8
 # Row number given at the scan: spreads even exact copies of a row.
 ROW = "_row"
 
@@ -53,30 +54,43 @@ class SkewProfile:
         return cls({name: HotKeys(dict(map(tuple, pairs))) for name, pairs in json.loads(text).items()})
 
 
-def measure(df: DataFrame, columns: list[str]) -> SkewProfile:
-    """Find hot keys of several columns in one pass.
+def _range(column: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ranges))
 
-    The action returns one row with at most two keys per column and shuffle
-    partition: there cannot be more that fill half a task.
+
+def measure(df: DataFrame, columns: list[str], tasks: int | None = None) -> SkewProfile:
+    """Find hot keys of several columns: one pass, and one more over each column with heavy ranges.
+
+    ``tasks`` is the number of shuffle partitions by default. Ranges and keys are counted with partial
+    sums; only those above half a task come back, at most two per column and task.
     """
-    halves = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketches = [
-        F.expr(f"approx_top_k(`{name}`, {halves}, {SKETCH_FACTOR * halves})").alias(name) for name in columns
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *sketches).first()
-    half = row["_rows"] / halves
-    return SkewProfile(
-        {
-            name: HotKeys(
-                {
-                    item["item"]: math.ceil(item["count"] / half)
-                    for item in row[name] or ()
-                    if item["count"] > max(half, 1)
-                }
-            )
-            for name in columns
-        }
+    halves = 2 * (tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = [_range(F.col(name), RANGES * halves) for name in columns]
+    counted = (
+        df.select(F.posexplode(F.array(*ranges)).alias("_column", "_range"))
+        .groupBy("_column", "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Every row is counted once per column; one row, from the same shuffle.
+    rows = counted.agg((F.sum("_n") / len(columns)).alias("_rows"))
+    above = F.col("_n") > F.greatest(F.col("_rows") / halves, F.lit(1.0))
+    heavy = counted.crossJoin(F.broadcast(rows)).filter(above).collect()
+    half = heavy[0]["_rows"] / halves if heavy else 0.0
+    measured = {name: HotKeys() for name in columns}
+    for at, name in enumerate(columns):
+        own = [(row["_range"],) for row in heavy if row["_column"] == at]
+        if own:
+            table = F.broadcast(df.sparkSession.createDataFrame(own, "_range long"))
+            found = (
+                df.select(F.col(name).alias("_key"), ranges[at].alias("_range"))
+                .join(table, "_range", "left_semi")
+                .groupBy("_key")
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > max(half, 1.0))
+                .collect()
+            )
+            measured[name] = HotKeys({row["_key"]: math.ceil(row["_n"] / half) for row in found})
+    return SkewProfile(measured)
 
 
 def skew_join(

@@ -8,12 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlake.operators.skew import SkewProfile
-from bazaarlake.plans import features, quality
+from bazaarlake.operators.skew import SkewProfile, measure
+from bazaarlake.plans import audit, features, quality
 from bazaarlake.plans.warehouse import JOIN_COLUMNS, Warehouse
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
-from bazaarlake.sources.storage import Stored, TableStore, export_csv
+from bazaarlake.sources.storage import Buckets, Stored, TableStore, export_csv
 
 # Stored tables with the datasets each depends on, in waves: the tables of a
 # wave need only those of earlier waves.
@@ -51,6 +51,12 @@ LOOKUP = {
     "delivery_lanes": "origin_zip",
 }
 
+# Tables in buckets of a key, of which all have the same number: grouping their rows by the key and joining
+# them by it moves nothing. A key that outgrows half a task would fill a bucket, so such a table is stored
+# without buckets, and grouped where it is read instead.
+BUCKETED = {"order_lines": "order_id", "stg_reviews": "order_id", "fct_payments": "order_id"}
+MOST_BUCKETS = 100_000  # of Spark
+
 # Manifest entry that holds the skew profile of the version.
 SKEW = "_skew"
 
@@ -99,19 +105,35 @@ def load(
 
 
 def _write_all(
-    store: TableStore, tables: dict[str, DataFrame], version: int
+    store: TableStore,
+    tables: dict[str, DataFrame],
+    version: int,
+    buckets: Mapping[str, Buckets] | None = None,
 ) -> dict[str, Stored]:
     """Write independent tables side by side; the first failure is raised."""
+    buckets = buckets or {}
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
         writes = {
             name: pool.submit(
-                store.write_table, name, df, version, PARTITIONED.get(name), LOOKUP.get(name)
+                store.write_table, name, df, version, PARTITIONED.get(name), LOOKUP.get(name), buckets.get(name)
             )
             for name, df in tables.items()
         }
         return {name: write.result() for name, write in writes.items()}
 
 
+def _bucketed(wh: Warehouse, names: Iterable[str], number: int) -> dict[str, Buckets]:
+    """Buckets of those of the tables in which no key outgrows a bucket."""
+    out = {}
+    for name in sorted(BUCKETED.keys() & set(names)):
+        key = BUCKETED[name]
+        # Lines have the keys of the items, which are measured anyway.
+        hot = wh.hot(key) if name == "order_lines" else measure(wh.table(name).select(key), [key])[key]
+        if not hot:
+            out[name] = Buckets(key, number, PARTITIONED.get(name))
+    return out
+
+
 def refresh(
     store: TableStore,
     touched: Iterable[str] = DATASETS,
@@ -146,9 +168,13 @@ def publish(
     fresh = {n: t for n, t in current.items() if n in TABLES and not stale(n, TABLES[n])}
     wh = Warehouse(raw=raw, stored=stored_tables(store, fresh))
     tables.pop(SKEW, None)
+    # Tables that stay have their number of buckets, so new ones get the same.
+    number = next((t.buckets.number for t in current.values() if t.buckets), None) or min(
+        int(store.spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS
+    )
     for wave in WAVES:
         due = {name: wh.table(name) for name, needs in wave.items() if stale(name, needs)}
-        written = _write_all(store, due, version)
+        written = _write_all(store, due, version, _bucketed(wh, due, number))
         tables |= written
         for name, read in stored_tables(store, written).items():
             wh.keep(name, read)
@@ -199,12 +225,14 @@ def append(
     """Validated rows of one dataset; stored as a new batch if confirmed.
 
     Rows handed in again under the same ``delivery`` name replace their batch.
-    A refresh of the dataset brings them into the tables.
+    A refresh of the dataset brings them into the tables. Rows that would fail
+    its checks are refused with ``audit.RefusedBatch``, which names them, and
+    change nothing.
     """
     valid = records.validate(dataset, rows)
     if confirm:
         name = delivery or str(uuid.uuid4())
-        store.write_raw(dataset, valid, store.batch_of(f"append {dataset} {name}"))
+        audit.admit(store, dataset, valid, store.batch_of(f"append {dataset} {name}"))
     return valid
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.numeric import (
     cents,
     exact_sum,
+    money,
     money_total,
     or_zero,
     percent,
@@ -65,36 +66,65 @@ def _order_rows(
 def sales_summary(
     wh: Warehouse, flt: SalesFilter = NO_FILTER, compat: bool = True
 ) -> DataFrame:
-    lines = filtered_lines(wh, flt)
-    orders = _order_rows(
-        wh, lines, flt, compat, "order_status", "is_late_delivery", "customer_id", "order_known"
+    """Headline figures from one read of the lines: a row per order and seller, of which one stands for the
+    order; buyers and sellers are then grouped side by side, so neither is counted by copying all rows."""
+    rows = _order_rows(
+        wh,
+        filtered_lines(wh, flt),
+        flt,
+        compat,
+        "seller_id",
+        "order_status",
+        "is_late_delivery",
+        "customer_id",
+        "order_known",
     )
+    in_order = Window.partitionBy("order_id").orderBy("seller_id")
+    once = F.row_number().over(in_order) == 1
     delivered = F.col("order_status") == DELIVERED
-    gmv = exact_sum(weighted("gmv"))
-    # A mean over lines leaves out lines without a price.
-    sales_units = F.sum(weighted("priced")) if compat else _known(F.lit(True))
-    figures = orders.agg(
-        money_total(weighted("gmv")).alias("total_gmv"),
-        F.count(F.when(delivered, 1)).alias("delivered_orders"),
-        F.count_distinct(F.when(delivered, F.col("customer_id"))).alias("active_customers"),
-        rounded(or_zero(ratio(gmv, sales_units * 100)), 2).alias("avg_order_value"),
-        _score().alias("avg_review_score"),
-        _late_share().alias("late_delivery_rate"),
+    late, known = F.col("is_late_delivery") == 1, F.col("order_known")
+    gmv, priced = weighted("gmv"), weighted("priced")
+    totals = {
+        # High and low bits apart, as a total may be larger than a machine word.
+        "gmv_high": F.shiftright(gmv, 20),
+        "gmv_low": gmv.bitwiseAND(F.lit(2**20 - 1)),
+        # A mean over lines leaves out lines without a price.
+        "units": priced if compat else (F.col("once") & known).cast("bigint"),
+        "score_sum": F.col("score_sum"),
+        "score_rows": F.col("score_rows"),
+        "delivered_orders": (F.col("once") & delivered).cast("bigint"),
+        "known_orders": (F.col("once") & known).cast("bigint"),
+        "late_orders": (F.col("once") & known & late).cast("bigint"),
+    }
+    parties = (
+        rows.withColumn("once", once)
+        .withColumns({"buyer": F.when(delivered, F.col("customer_id")), "seller": F.when(delivered, F.col("seller_id"))})
+        .groupingSets([["buyer"], ["seller"]], "buyer", "seller")
+        .agg(F.grouping("seller").alias("of_buyers"), *(F.sum(c).alias(n) for n, c in totals.items()))
     )
-    sold = lines.filter(delivered)
-    if flt.payment_type or flt.review_score:
-        pairs = sold.select("order_id", "seller_id").distinct()
-        sold = reviewed_with(paid_with(pairs, wh, flt.payment_type), wh, flt.review_score)
-    # Two distinct counts in one aggregate would copy every row per count.
-    sellers = sold.select("seller_id").distinct().agg(F.count("seller_id").alias("active_sellers"))
-    return figures.crossJoin(F.broadcast(sellers)).select(
-        "total_gmv",
+    # Every figure but the number of sellers is taken from the buyers' groups.
+    ours = F.col("of_buyers") == 1
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(ours, F.col(name)))
+
+    high, low = (total(n).cast("decimal(20,0)") for n in ("gmv_high", "gmv_low"))
+    sums = parties.agg(
+        (high * F.lit(2**20) + low).alias("gmv"),
+        *(total(n).alias(n) for n in ("units", "score_sum", "score_rows")),
+        *(or_zero(total(n)).alias(n) for n in ("delivered_orders", "known_orders", "late_orders")),
+        F.count(F.when(ours, F.col("buyer"))).alias("active_customers"),
+        F.count(F.when(~ours, F.col("seller"))).alias("active_sellers"),
+    )
+    score = F.when(F.col("score_rows") > 0, F.col("score_sum").cast("double") / F.col("score_rows"))
+    return sums.select(
+        money(or_zero(F.col("gmv"))).alias("total_gmv"),
         "delivered_orders",
         "active_sellers",
         "active_customers",
-        "avg_order_value",
-        "avg_review_score",
-        "late_delivery_rate",
+        rounded(or_zero(ratio(F.col("gmv"), F.col("units") * 100)), 2).alias("avg_order_value"),
+        rounded(or_zero(score), 2).alias("avg_review_score"),
+        percent(F.col("late_orders"), F.col("known_orders")).alias("late_delivery_rate"),
     )
 
 

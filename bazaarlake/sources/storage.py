@@ -6,8 +6,11 @@ Below one root folder:
                                load and is never written again, so it serves
                                as the copy from before any append
 ``tables/<table>/v<n>``        a table as built for version n
-``manifests/version=<n>``      folder and schema of each table as of version n
+``manifests/version=<n>``      folder, schema and layout of each table as of version n
 ``batches``                    the number given to each delivery
+``keys/<dataset>/batch=<n>``   keys that a batch brought, by buckets of their hash: what a new batch
+                               refers to or repeats is looked up in the buckets that it touches
+``staged/<dataset>/batch=<n>`` rows that wait for their audit, or were refused; no reader sees them
 ``set_aside/batch=<n>``        records of a batch that failed a check, and why, or all
                                records that wait for others since a stream's batch
 
@@ -19,27 +22,46 @@ replaced as a whole, so repeated attempts are safe. There is one writer.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlake.sources.schemas import DATASETS, INGEST_SEQ, raw_columns, raw_schema
 
 _ROW = "_row_number"
-_MANIFEST = "table string, path string, schema string"
+# Key of the datasets that others refer to.
+KEYS = {"customers": "customer_id", "orders": "order_id"}
+# Fixed value: buckets of the key index.
+KEY_BUCKETS = 256
+_MANIFEST = "table string, path string, schema string, layout string"
 _BATCHES = "delivery string, batch bigint"
 
 
+class Buckets(NamedTuple):
+    """Files dealt out by a hash of a key: rows of one key are in one bucket, and tables with as many buckets
+    of the same key meet without a shuffle. The table is partitioned by another column within, or by none."""
+
+    key: str
+    number: int
+    partition_by: str | None = None
+
+
 class Stored(NamedTuple):
     """Where a table is and what it looks like, so that opening it neither
     reads a file nor fails on a table without rows."""
 
     path: str
     schema: str
+    layout: str | None = None
+
+    @property
+    def buckets(self) -> Buckets | None:
+        return Buckets(*json.loads(self.layout)) if self.layout else None
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -60,6 +82,65 @@ class TableStore:
         )
         path = f"{self.root}/raw/{dataset}/batch={batch}"
         numbered.write.mode("overwrite").parquet(path)
+        self._index_keys(dataset, batch)
+
+    def stage(self, dataset: str, records: DataFrame, batch: int) -> DataFrame:
+        """Store rows where only an audit sees them; numbered and typed like raw records."""
+        numbered = records.select(*raw_columns(dataset), F.monotonically_increasing_id().alias(_ROW))
+        path = f"{self.root}/staged/{dataset}/batch={batch}"
+        schema = numbered.schema
+        numbered.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def publish_staged(self, dataset: str, batch: int) -> None:
+        """Make staged rows the raw records of their batch, replacing an earlier attempt at it."""
+        path, files = self._files()
+        staged, raw = (path(f"{self.root}/{place}/{dataset}/batch={batch}") for place in ("staged", "raw"))
+        files.delete(raw, True)
+        files.mkdirs(raw.getParent())
+        if not files.rename(staged, raw):
+            raise OSError(f"batch {batch} of {dataset} can't be published")
+        self._index_keys(dataset, batch)
+
+    # -- the key index ------------------------------------------------------
+
+    def _index_keys(self, dataset: str, batch: int) -> None:
+        if dataset not in KEYS:
+            return
+        rows = self.spark.read.schema(raw_schema(dataset)).parquet(f"{self.root}/raw/{dataset}/batch={batch}")
+        key = F.nullif(KEYS[dataset], F.lit("")).alias("key")
+        (
+            rows.select(key)
+            .filter("key IS NOT NULL")
+            .withColumn("bucket", _bucket_of("key"))
+            .distinct()
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "key")
+            .write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(f"{self.root}/keys/{dataset}/batch={batch}")
+        )
+
+    def known_keys(self, dataset: str, keys: DataFrame, without_batch: int) -> DataFrame:
+        """Those of ``keys`` (one column, key) that other batches brought, each once.
+
+        Only the buckets that the keys fall into are read; their numbers, KEY_BUCKETS at most, come to
+        the driver so that the scan leaves the others out.
+        """
+        path, files = self._files()
+        top = f"{self.root}/keys/{dataset}"
+        if not files.exists(path(top)):
+            # A store from before the index, or nothing has come in yet.
+            raw = path(f"{self.root}/raw/{dataset}")
+            for f in files.listStatus(raw) if files.exists(raw) else ():
+                self._index_keys(dataset, int(f.getPath().getName().removeprefix("batch=")))
+        if not files.exists(path(top)):
+            return self.spark.createDataFrame([], "key string")
+        wanted = keys.filter("key IS NOT NULL").distinct()
+        touched = [row[0] for row in wanted.select(_bucket_of("key")).distinct().collect()]
+        index = self.spark.read.schema("key string, batch bigint, bucket int").parquet(top)
+        own = index.filter(F.col("bucket").isin(touched) & (F.col("batch") != without_batch))
+        return own.join(wanted, "key", "left_semi").select("key").distinct()
 
     def raw(self, dataset: str, before_batch: int | None = None, without_batch: int | None = None) -> DataFrame:
         """All records of a dataset, or those from before a batch, or those of other batches."""
@@ -138,6 +219,7 @@ class TableStore:
             f"{aside}/reason"
         )
         for dataset in DATASETS:
+            files.delete(path(f"{self.root}/keys/{dataset}/batch={batch}"), True)
             rows = path(f"{self.root}/raw/{dataset}/batch={batch}")
             if files.exists(rows) and not files.rename(rows, path(f"{aside}/{dataset}")):
                 raise OSError(f"batch {batch} of {dataset} can't be set aside")
@@ -151,10 +233,13 @@ class TableStore:
         version: int,
         partition_by: str | None = None,
         lookup: str | None = None,
+        buckets: Buckets | None = None,
     ) -> Stored:
-        """Write a table; rows of a file are in the order of the ``lookup`` key."""
+        """Write a table; rows of a file are in the order of the ``lookup`` key, or of the buckets' key."""
         path = f"{self.root}/tables/{table}/v{version}"
         schema = df.schema.json()
+        if buckets:
+            return self._write_buckets(df, Stored(path, schema, json.dumps(buckets)))
         if partition_by:
             # Even files however uneven the partitions, few files per partition.
             df = df.hint("rebalance", partition_by)
@@ -168,6 +253,39 @@ class TableStore:
         writer.parquet(path)
         return Stored(path, schema)
 
+    def _write_buckets(self, df: DataFrame, stored: Stored) -> Stored:
+        """Write a table in buckets: a task per bucket, one file per bucket and partition."""
+        key, number, partition_by = stored.buckets
+        writer = (
+            # As Spark deals rows out to buckets; a task then writes one bucket.
+            df.repartition(number, key)
+            .write.mode("overwrite")
+            .option("path", stored.path)
+            .option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .bucketBy(number, key)
+            .sortBy(key)
+        )
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        self.spark.sql(f"DROP TABLE IF EXISTS {_registered(stored.path)}")
+        writer.saveAsTable(_registered(stored.path))
+        return stored
+
+    def _open_buckets(self, stored: Stored) -> DataFrame:
+        """A bucketed table. Only the catalog tells Spark of buckets, so the folder is entered there, as an
+        external table under a name made of its path; no other session needs the entry."""
+        name, (key, number, partition_by) = _registered(stored.path), stored.buckets
+        schema = T.StructType.fromJson(json.loads(stored.schema))
+        if not self.spark.catalog.tableExists(name):
+            partitions = f"PARTITIONED BY ({partition_by})" if partition_by else ""
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({schema.toDDL()}) USING parquet {partitions} "
+                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {number} BUCKETS LOCATION '{stored.path}'"
+            )
+            if partition_by:
+                self.spark.catalog.recoverPartitions(name)
+        return self.spark.table(name).select(schema.names)
+
     def commit(self, tables: dict[str, Stored], version: int) -> None:
         """Make a set of table folders the current version."""
         rows = self.spark.createDataFrame([(name, *t) for name, t in sorted(tables.items())], _MANIFEST)
@@ -194,9 +312,11 @@ class TableStore:
         if version is None:
             return {}
         rows = self._manifests().filter(F.col("version") == version).collect()
-        return {row["table"]: Stored(row["path"], row["schema"]) for row in rows}
+        return {row["table"]: Stored(row["path"], row["schema"], row["layout"]) for row in rows}
 
     def open(self, stored: Stored) -> DataFrame:
+        if stored.layout:
+            return self._open_buckets(stored)
         schema = T.StructType.fromJson(json.loads(stored.schema))
         return self.spark.read.schema(schema).parquet(stored.path)
 
@@ -207,6 +327,15 @@ class TableStore:
         return self.open(tables[table])
 
 
+def _bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+
+
+def _registered(path: str) -> str:
+    """Name in the catalog of the table in a folder."""
+    return f"spark_catalog.default.bazaarlake_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
 def export_csv(df: DataFrame, folder: str) -> None:
     """A report as CSV files with headers; read by name they have its order."""
     df.write.mode("overwrite").option("header", True).csv(folder)

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bazaarlake.plans.audit import PARENTS
 from bazaarlake.plans.build import refresh
 from bazaarlake.sources.schemas import COLUMNS, raw_columns
-from bazaarlake.sources.storage import TableStore
+from bazaarlake.sources.storage import KEYS, TableStore
 
 RECORD = "dataset string, data map<string,string>, _unreadable string"
 
@@ -53,23 +54,22 @@ def with_reason(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", reason)
 
 
-# Key of a dataset, and the dataset and column it refers to, as the quality checks have them; parents first.
-KEYS = {"customers": "customer_id", "orders": "order_id"}
-PARENTS = {"orders": ("customers", "customer_id"), "order_items": ("orders", "order_id")}
-
-
 def _filled(name: str) -> Column:
     return F.nullif(F.col("data")[name], F.lit(""))
 
 
 def _related(store: TableStore, judged: DataFrame, batch: int) -> DataFrame:
-    """Valid records with a reason if their key is missing or taken, and ``waits`` if their parent is unknown."""
+    """Valid records with a reason if their key is missing or taken, and ``waits`` if their parent is unknown.
+
+    What earlier batches brought is asked of the key index, in the buckets that this batch's keys touch.
+    """
     judged = judged.withColumn("waits", F.lit(False))
     for dataset in ("customers", "orders", "order_items"):
         own = F.col("reason").isNull() & (F.col("dataset") == dataset)
         if dataset in PARENTS:
             parent, column = PARENTS[dataset]
-            known = store.raw(parent, without_batch=batch).select(F.nullif(column, F.lit("")).alias("_parent"))
+            wanted = judged.filter(own).select(_filled(column).alias("key"))
+            known = store.known_keys(parent, wanted, batch).withColumnRenamed("key", "_parent")
             new = judged.filter((F.col("dataset") == parent) & F.col("reason").isNull() & ~F.col("waits"))
             known = known.unionByName(new.select(_filled(column).alias("_parent"))).distinct()
             judged = judged.withColumn("_wants", F.when(own, _filled(column))).join(
@@ -81,7 +81,8 @@ def _related(store: TableStore, judged: DataFrame, batch: int) -> DataFrame:
             judged = judged.drop("_wants", "_parent", "_known")
         if dataset in KEYS:
             column = KEYS[dataset]
-            taken = store.raw(dataset, without_batch=batch).select(F.nullif(column, F.lit("")).alias("_taken")).distinct()
+            given = judged.filter(own).select(_filled(column).alias("key"))
+            taken = store.known_keys(dataset, given, batch).withColumnRenamed("key", "_taken")
             judged = judged.withColumn("_key", F.when(own, _filled(column))).join(
                 taken, F.col("_key") == F.col("_taken"), "left"
             )

@@ -28,7 +28,7 @@ FORCED = SkewProfile(
 )
 
 
-def test_hot_keys_are_found_in_one_pass(spark):
+def test_hot_keys_are_found(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "big").otherwise(F.col("id").cast("string")).alias("a"),
         F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id")).alias("b"),
@@ -42,6 +42,18 @@ def test_hot_keys_are_found_in_one_pass(spark):
     assert SkewProfile.from_json(profile.to_json()) == profile
 
 
+def test_hot_keys_for_any_number_of_tasks(spark):
+    rows = spark.range(4_000_000).select(
+        F.when(F.col("id") % 10 == 0, "big").otherwise(F.col("id").cast("string")).alias("k")
+    )
+    salts = measure(rows, ["k"], tasks=1_000_000)["k"].salts
+    # A half task has two rows: keys that occur once are none.
+    assert salts == {"big": 200_000}
+    assert measure(rows, ["k"], tasks=1_000)["k"].salts == {"big": 200}
+    assert not measure(rows, ["k"], tasks=2)["k"]
+    assert not measure(rows.limit(0), ["k"])["k"]
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_is_the_join(spark, how):
     left = spark.range(60).select(

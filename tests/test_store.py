@@ -6,7 +6,8 @@ import os
 import pytest
 
 import micro
-from bazaarlake.plans import build, measures, quality, sales, sellers, views
+from bazaarlake.plans import audit, build, features, measures, quality, sales, sellers, views
+from bazaarlake.plans.warehouse import Warehouse
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import COLUMNS
 from bazaarlake.sources.storage import TableStore
@@ -19,6 +20,14 @@ def store(spark, tmp_path):
     return build.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", export_to=f"{tmp_path}/reports")
 
 
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    """A store that tests only read, or whose refused batches leave as it is."""
+    folder = str(tmp_path_factory.mktemp("shared"))
+    micro.write_csvs(f"{folder}/in")
+    return build.run(spark, f"{folder}/in", f"{folder}/out")
+
+
 def test_csv_scan_is_lenient(spark, tmp_path):
     path = f"{tmp_path}/order_reviews.csv"
     with open(path, "w", encoding="utf-8") as handle:
@@ -59,6 +68,52 @@ def test_stored_warehouse_answers_like_the_computed_one(spark, tmp_path, store):
     assert os.path.exists(f"{tmp_path}/reports/seller_scores")
 
 
+def _plan(df):
+    """The plan as it is made before it runs, each operator with its details."""
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+@pytest.mark.parametrize(
+    "query",
+    [sales.sales_summary, sales.sales_map, views.revenue_by_category, views.seller_performance_base, features.seller_scores],
+)
+def test_lines_in_buckets_are_not_moved(spark, shared, query):
+    plan = _plan(query(build.open_warehouse(shared)))
+    assert "hashpartitioning(order_id" not in plan
+    # Each table is read once, bucket by bucket.
+    assert plan.count("Bucketed: true") == 2
+
+
+def test_reviews_and_payments_meet_in_buckets(spark, shared):
+    wh = build.open_warehouse(shared)
+    plan = _plan(sales.sales_trend(wh, sales.SalesFilter(payment_type="credit_card", review_score=5)))
+    assert "hashpartitioning(order_id" not in plan and plan.count("Bucketed: true") == 3
+
+
+def test_a_hot_order_is_stored_without_buckets(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/hot")
+    items = micro.rows("order_items", *[{"order_id": "o1", "order_item_id": str(i)} for i in range(60)])
+    data = micro.raw(spark, order_items=items)
+    build.publish(store, data)
+    buckets = {n: t.buckets for n, t in store.tables().items() if n in build.BUCKETED}
+    assert buckets["order_lines"] is None
+    computed = sales.sales_summary(Warehouse(raw=data)).collect()
+    assert sales.sales_summary(build.open_warehouse(store)).collect() == computed
+
+
+def test_buckets_keep_their_number(spark, store):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        build.refresh(store, ["order_reviews"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    numbers = {t.buckets.number for t in store.tables().values() if t.buckets}
+    assert len(numbers) == 1
+
+
 def test_append_previews_then_stores_once(spark, store):
     row = spark.createDataFrame(
         micro.rows("sellers", {"seller_id": "s2"}), COLUMNS["sellers"]
@@ -104,7 +159,8 @@ def test_failed_check_keeps_the_old_version(spark, store):
     bad = spark.createDataFrame(
         micro.rows("order_payments", {"payment_value": "-1"}), COLUMNS["order_payments"]
     )
-    build.append(store, "order_payments", bad, confirm=True)
+    # As if it had come in unaudited.
+    store.write_raw("order_payments", bad, store.batch_of("past the audit"))
     with pytest.raises(quality.QualityError, match="payments_are_non_negative"):
         build.refresh(store, ["order_payments"])
     assert store.version() == 0
@@ -117,6 +173,55 @@ def test_failed_check_keeps_the_old_version(spark, store):
     assert spark.read.parquet(f"{store.root}/set_aside/batch=1/order_payments").count() == 1
 
 
+@pytest.mark.parametrize(
+    "dataset, changes, reasons",
+    [
+        ("order_payments", [{"payment_value": "-1"}, {}], ["negative payment"]),
+        ("customers", [{"customer_id": "c1"}, {"customer_id": "c9"}], ["repeated customer_id"]),
+        ("customers", [{"customer_id": ""}, {"customer_id": "c9"}, {"customer_id": "c9"}], ["no customer_id", "repeated customer_id"]),
+        ("orders", [{"order_id": "o9", "customer_id": "nobody"}, {"order_id": "o1"}], ["repeated order_id", "unknown customer_id"]),
+        ("order_items", [{"order_id": "nothing"}, {"order_id": ""}, {}], ["no order_id", "unknown order_id"]),
+    ],
+)
+def test_bad_append_changes_nothing(spark, shared, dataset, changes, reasons):
+    rows = spark.createDataFrame(micro.rows(dataset, *changes), COLUMNS[dataset])
+    before = shared.raw(dataset).count()
+    with pytest.raises(audit.RefusedBatch) as refused:
+        build.append(shared, dataset, rows, confirm=True, delivery="d")
+    assert refused.value.failures == reasons
+    assert sorted({r["reason"] for r in refused.value.rows.collect()}) == reasons
+    assert shared.raw(dataset).count() == before and shared.version() == 0
+
+
+def test_after_a_refusal_the_mended_batch_comes_in(spark, store):
+    def orders(*changes):
+        return spark.createDataFrame(micro.rows("orders", *changes), COLUMNS["orders"])
+
+    with pytest.raises(audit.RefusedBatch):
+        build.append(store, "orders", orders({"order_id": "o2"}, {"order_id": "o2"}), confirm=True, delivery="d")
+    for _ in range(2):  # handed in again, a batch does not repeat its own keys
+        build.append(store, "orders", orders({"order_id": "o2"}, {"order_id": "o3"}), confirm=True, delivery="d")
+    build.refresh(store, ["orders"])
+    assert store.version() == 1 and store.read("order_heads").count() == 3
+    with pytest.raises(audit.RefusedBatch):
+        build.append(store, "orders", orders({"order_id": "o3"}), confirm=True)
+
+
+def test_only_touched_buckets_of_the_key_index_are_read(spark, store):
+    rows = micro.rows("customers", *[{"customer_id": f"k{i}"} for i in range(300)])
+    store.write_raw("customers", spark.createDataFrame(rows, COLUMNS["customers"]), 1)
+    asked = spark.createDataFrame([("k7",), ("unheard",), ("c1",), (None,)], "key string")
+    known = store.known_keys("customers", asked, 5)
+    assert sorted(r["key"] for r in known.collect()) == ["c1", "k7"]
+    assert [r["key"] for r in store.known_keys("customers", asked, 1).collect()] == ["c1"]
+    plan = _plan(known)
+    assert "PartitionFilters: [isnotnull(batch" in plan and "bucket#" in plan and "raw/customers" not in plan
+    index = [f for f in known.inputFiles()]
+    assert 0 < len(index) <= 8  # of some 180 files
+    store.set_aside(1, "test")
+    assert [r["key"] for r in store.known_keys("customers", asked, 5).collect()] == ["c1"]
+
+
 def test_stream_goes_on_after_a_bad_batch(spark, tmp_path, store):
     drop, checkpoint = f"{tmp_path}/drop", f"{tmp_path}/checkpoint"
     _drop(drop, "a.json", _record("order_items", order_id="nobody's"), _record("order_payments", payment_value="-2"))
