@@ -155,18 +155,19 @@ def _largest_smaller(lengths: list[int], count: Counter, room: int) -> int:
     return lengths[at - 1] if at else 0
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many alike) for pieces given by length and number.
+Sequences = list[tuple[tuple[int, ...], int]]
+
+
+def reduce(count: Counter, capacity: int = CAPACITY) -> Sequences:
+    """The dominance reduction: sequences that an optimal packing may have, taken out of ``count``.
 
-    First the reduction: as long as the longest piece has a dominating partner set, sequences of it are
-    fixed, as many at once as there are pieces for, and the instance shrinks. Where none is proven the
-    longest piece is set aside for the remainder and the next is tried, as its sequence may still gain
-    pieces. Then best fit, longest first, over open sequences grouped by the room they have left. The work
-    depends on the number of different lengths, never on the number of pieces.
+    From the longest length down, as long as a piece has a dominating partner set among all pieces that are
+    left, sequences of it are fixed, as many at once as there are pieces for. A piece without one is set
+    aside and the next length is tried; partners of shorter pieces may be among those set aside. What is
+    fixed shrinks the instance, so passes follow until one fixes nothing.
     """
-    count = Counter({k: n for k, n in histogram.items() if n > 0})
     lengths = sorted(count)
-    done: list[tuple[tuple[int, ...], int]] = []
+    done: Sequences = []
 
     def take(length: int, n: int) -> None:
         count[length] -= n
@@ -174,26 +175,41 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             del count[length]
             lengths.pop(bisect_left(lengths, length))
 
-    while lengths:
-        longest = lengths[-1]
-        n = count[longest]
-        take(longest, 1)
-        partners = dominating_set(longest, lengths, count, capacity)
-        left = count.get(longest, 0)
-        if left < n:
-            count[longest] = left + 1
-            if not left:
-                insort(lengths, longest)
-        if partners is None:
-            break
-        members = Counter([longest, *partners])
-        # As long as every length of the set has pieces, the same choice is made again.
-        alike = min(count[x] // k for x, k in members.items())
-        alike = max(1, alike - 1) if partners and partners[-1] != capacity - longest else max(1, alike)
-        for x, k in members.items():
-            take(x, k * alike)
-        done.append(((longest, *partners), alike))
+    def partners_of(length: int) -> list[int] | None:
+        """Of one piece, among all the others."""
+        take(length, 1)
+        partners = dominating_set(length, lengths, count, capacity)
+        if length not in count:
+            insort(lengths, length)
+        count[length] += 1
+        return partners
+
+    fixed = True
+    while fixed:
+        fixed = False
+        for length in lengths[::-1]:
+            while count.get(length) and (partners := partners_of(length)) is not None:
+                members = Counter([length, *partners])
+                # As long as every length of the set has pieces, the same choice is made again.
+                alike = min(count[x] // k for x, k in members.items())
+                alike = max(1, alike - 1) if partners and partners[-1] != capacity - length else max(1, alike)
+                for x, k in members.items():
+                    take(x, k * alike)
+                done.append(((length, *partners), alike))
+                fixed = True
+    return done
+
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Sequences:
+    """Sequences as (lengths, how many alike) for pieces given by length and number.
+
+    First the reduction (see ``reduce``), then best fit for what it leaves, longest first, over open
+    sequences grouped by the room they have left. The work depends on the number of different lengths, never
+    on the number of pieces.
+    """
+    count = Counter({k: n for k, n in histogram.items() if n > 0})
+    done = reduce(count, capacity)
+    lengths = sorted(count)
     rooms: list[int] = []
     open_: dict[int, list[list]] = {}
 
