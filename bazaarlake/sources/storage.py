@@ -254,14 +254,17 @@ class TableStore:
         return Stored(path, schema)
 
     def _write_buckets(self, df: DataFrame, stored: Stored) -> Stored:
-        """Write a table in buckets: a task per bucket, one file per bucket and partition."""
+        """Write a table in buckets: a task per bucket, one file per bucket and partition.
+
+        A key is found by its bucket and the order in the file; a Bloom filter in each of these many files
+        would be larger than the rows.
+        """
         key, number, partition_by = stored.buckets
         writer = (
             # As Spark deals rows out to buckets; a task then writes one bucket.
             df.repartition(number, key)
             .write.mode("overwrite")
             .option("path", stored.path)
-            .option(f"parquet.bloom.filter.enabled#{key}", "true")
             .bucketBy(number, key)
             .sortBy(key)
         )
