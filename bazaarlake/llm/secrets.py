@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,8 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = (*BASE, *MORE)
+#: Lengths that are added up in one fold.
+BLOCK = 64
 
 
 def holds(query: Query, has: Column) -> Column:
@@ -77,6 +80,47 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.select("id", "copy", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(lengths: Column, levels: int = 2) -> Column:
+    """For each of the lengths the sum of those before it.
+
+    A fold that appends to its result copies it at each step. So lengths are cut into blocks: the sums of the
+    blocks are added up in the same way, and a fold appends within one block only.
+    """
+    if levels == 0:
+        return F.aggregate(
+            lengths,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")
+            ),
+            lambda acc: acc["before"],
+        )
+
+    def blockwise(all_: Column) -> Column:
+        firsts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))).otherwise(
+            F.array().cast("array<int>")
+        )
+        blocks = F.transform(firsts, lambda first: F.slice(all_, first, BLOCK))
+        return _with(blocks, over)
+
+    def over(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x))
+        return F.flatten(
+            F.zip_with(
+                blocks,
+                running(sums, levels - 1),
+                lambda block, start: F.transform(running(block, 0), lambda before: start + before),
+            )
+        )
+
+    return _with(lengths, blockwise)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """The matches of a rule in code points, as array of (start, rank, stop, kind).
 
@@ -86,31 +130,27 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     tested = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    one = "struct<start:int,rank:int,stop:int,kind:string>"
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), whole.alias("long"), tested.alias("test")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["long"], F.lit(0))).alias("at"),
-            F.when(
-                x["test"] >= rule.least,
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + x["gap"] + x["long"]).alias("stop"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-    )
-    return walked["found"]
+
+    def placed(steps: Column) -> Column:
+        widths = F.transform(steps, lambda x: x["gap"] + F.coalesce(x["long"], F.lit(0)))
+        places = F.zip_with(
+            steps,
+            running(widths),
+            lambda x, at: F.struct(
+                (at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("stop"), x["test"].alias("test")
+            ),
+        )
+        return F.transform(
+            F.filter(places, lambda x: x["test"] >= rule.least),
+            lambda x: F.struct(
+                x["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                x["stop"].alias("stop"),
+                F.lit(rule.kind).alias("kind"),
+            ),
+        )
+
+    return _with(F.arrays_zip(between.alias("gap"), whole.alias("long"), tested.alias("test")), placed)
 
 
 def scan(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -121,7 +161,7 @@ def scan(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES) ->
     candidates are verified with the pattern. A rule whose pattern has no mandatory trigram (a run of hex
     digits) is tried on every document.
 
-    Whole texts are scanned. NULL text is empty and has no secrets; NULL ids and repeated rows keep a row
+    Whole texts are scanned, in time that grows with their length and their matches. NULL text is empty and has no secrets; NULL ids and repeated rows keep a row
     each; an empty table gives none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -272,3 +272,15 @@ def test_queries_match_sql(spark, name):
 
     duck = compare.connect(FOLDER)
     assert compare.spark_rows(queries.QUERIES[name](spark, FOLDER)) == compare.duck_rows(duck, queries.SQL[name])
+
+
+def _listing(n):
+    """Lines of digests, as in a list of checksums."""
+    return "\n".join(f"{hashlib.md5(str(i).encode()).hexdigest()}  é{i}.txt token={i:012d}" for i in range(n))
+
+
+def test_secrets_of_a_text_with_very_many(spark, scratch):
+    given = [(1, _listing(9000)), (2, _listing(63)), (3, _listing(64)), (4, _listing(65)), (5, _listing(4097))]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[:5] for r in secrets.report(secrets.scan(docs, scratch)).collect()}
+    assert found == {i: (i, *brute.secrets(t)) for i, t in given}
