@@ -94,8 +94,8 @@ def order_core(orders: DataFrame) -> DataFrame:
     )
 
 
-def order_heads(core: DataFrame, customers: DataFrame, hot_customer: HotKeys) -> DataFrame:
-    buyers = customers.select(
+def buyers(customers: DataFrame) -> DataFrame:
+    return customers.select(
         "customer_id",
         "customer_unique_id",
         "customer_city",
@@ -103,7 +103,10 @@ def order_heads(core: DataFrame, customers: DataFrame, hot_customer: HotKeys) ->
         "customer_zip_code_prefix",
         F.lit(True).alias("customer_known"),
     )
-    heads = skew_join(core, buyers, "customer_id", hot_customer, order_sized=True)
+
+
+def order_heads(core: DataFrame, customers: DataFrame, hot_customer: HotKeys) -> DataFrame:
+    heads = skew_join(core, buyers(customers), "customer_id", hot_customer, order_sized=True)
     return heads.select(*core.columns, *BUYER_COLUMNS)
 
 

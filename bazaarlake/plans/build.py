@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlake.operators.skew import SkewProfile, measure
-from bazaarlake.plans import audit, features, quality
+from bazaarlake.plans import audit, features, increment, quality
 from bazaarlake.plans.warehouse import JOIN_COLUMNS, Warehouse
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
@@ -59,6 +59,7 @@ MOST_BUCKETS = 100_000  # of Spark
 
 # Manifest entry that holds the skew profile of the version.
 SKEW = "_skew"
+NOTES = {SKEW, increment.BATCHES}
 
 FIRST_LOAD = "first load"
 
@@ -88,7 +89,7 @@ def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
     it was built; raw records are those in the store now.
     """
     tables = store.tables(version)
-    stored = {name: (lambda table=table: store.open(table)) for name, table in tables.items() if name != SKEW}
+    stored = {name: (lambda table=table: store.open(table)) for name, table in tables.items() if name not in NOTES}
     skew = SkewProfile.from_json(tables[SKEW].path) if SKEW in tables else None
     return Warehouse(raw=store.all_raw(), stored=stored, skew=skew)
 
@@ -138,10 +139,14 @@ def refresh(
     store: TableStore,
     touched: Iterable[str] = DATASETS,
     export_to: str | None = None,
+    whole: bool = False,
 ) -> int:
-    """Rebuild what depends on the touched datasets from the stored raw
-    batches; returns the new version."""
-    return publish(store, store.all_raw(), touched, export_to)
+    """Bring what depends on the touched datasets up to date from the stored raw batches; returns the new version.
+
+    Where a dataset only gained batches, rows are added and the purchase months reached are written again
+    (``increment``); ``whole`` writes every dependent table anew.
+    """
+    return publish(store, store.all_raw(), touched, export_to, store.batches(), whole)
 
 
 def publish(
@@ -149,10 +154,13 @@ def publish(
     raw: Mapping[str, DataFrame],
     touched: Iterable[str] = DATASETS,
     export_to: str | None = None,
+    batches: Mapping[str, Mapping[int, str]] | None = None,
+    whole: bool = False,
 ) -> int:
-    """Rebuild what depends on the touched datasets and switch to it.
+    """Bring what depends on the touched datasets up to date and switch to it.
 
-    Every table is written before the next one reads it, so no plan spans the
+    ``batches`` are the raw batches in the store if ``raw`` is made of them; without them every dependent
+    table is written anew. Every table is written before the next one reads it, so no plan spans the
     whole build and a lost executor costs one table's work at most. Checks run
     between tables and reports; if one fails, the old version stays current.
     """
@@ -161,20 +169,29 @@ def publish(
     version = 0 if before is None else before + 1
     current = store.tables(before)
     tables = dict(current)
+    news = {} if whole or batches is None else increment.arrived(current, batches, touched)
+    new = increment.Increment(store, current, news, version)
 
     def stale(name: str, needs: set[str]) -> bool:
         return bool(needs & touched) or name not in current
 
     fresh = {n: t for n, t in current.items() if n in TABLES and not stale(n, TABLES[n])}
-    wh = Warehouse(raw=raw, stored=stored_tables(store, fresh))
+    # The profile is measured with every whole build; additions are small against what it was measured on.
+    skew = SkewProfile.from_json(current[SKEW].path) if SKEW in current and touched <= news.keys() else None
+    wh = Warehouse(raw=raw, stored=stored_tables(store, fresh), skew=skew)
     tables.pop(SKEW, None)
     # Tables that stay have their number of buckets, so new ones get the same.
     number = next((t.buckets.number for t in current.values() if t.buckets), None) or min(
         int(store.spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS
     )
     for wave in WAVES:
-        due = {name: wh.table(name) for name, needs in wave.items() if stale(name, needs)}
-        written = _write_all(store, due, version, _bucketed(wh, due, number))
+        due = {name for name, needs in wave.items() if stale(name, needs)}
+        added = {name for name in due if new.reaches(name, TABLES[name], touched)}
+        anew = {name: wh.table(name) for name in wave if name in due - added}
+        written = _write_all(store, anew, version, _bucketed(wh, anew, number))
+        with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+            updates = {name: pool.submit(new.update, name, wh, LOOKUP.get(name)) for name in added}
+            written |= {name: update.result() for name, update in updates.items()}
         tables |= written
         for name, read in stored_tables(store, written).items():
             wh.keep(name, read)
@@ -184,6 +201,10 @@ def publish(
     for columns in JOIN_COLUMNS.values():
         wh.hot(columns[0])
     tables[SKEW] = Stored(wh.skew.to_json(), "")
+    known = {} if batches is None else {d: batches[d] for d in touched}
+    # A table that was missing has been made of all batches, so what the others hold is unknown then.
+    kept = increment.held(current) if TABLES.keys() <= current.keys() else {}
+    tables[increment.BATCHES] = Stored(increment.to_json(kept | known), "")
     store.commit(tables, version)
     if export_to:
         for name, order in CSV_REPORTS.items():

@@ -5,7 +5,8 @@ Below one root folder:
 ``raw/<dataset>/batch=<n>``    records of one batch; batch 0 is the first
                                load and is never written again, so it serves
                                as the copy from before any append
-``tables/<table>/v<n>``        a table as built for version n
+``tables/<table>/v<n>``        a table as built for version n, or what that version added to it: a table
+                               is one folder, or several (rows added since), or months from several
 ``manifests/version=<n>``      folder, schema and layout of each table as of version n
 ``batches``                    the number given to each delivery
 ``keys/<dataset>/batch=<n>``   keys that a batch brought, by buckets of their hash: what a new batch
@@ -38,7 +39,11 @@ _ROW = "_row_number"
 KEYS = {"customers": "customer_id", "orders": "order_id"}
 # Fixed value: buckets of the key index.
 KEY_BUCKETS = 256
-_MANIFEST = "table string, path string, schema string, layout string"
+# Fixed value: folder name of Spark for the partition without a value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# Partition column, in the catalog only, of the folders that rows were added in.
+ADDED = "_added"
+_MANIFEST = "table string, path string, schema string, layout string, parts string"
 _BATCHES = "delivery string, batch bigint"
 
 
@@ -58,11 +63,17 @@ class Stored(NamedTuple):
     path: str
     schema: str
     layout: str | None = None
+    parts: str | None = None
 
     @property
     def buckets(self) -> Buckets | None:
         return Buckets(*json.loads(self.layout)) if self.layout else None
 
+    @property
+    def folders(self) -> list[str] | dict[str, str]:
+        """Where the rows are: folders that each hold some, or by partition (``column=value``) the folder it is in."""
+        return json.loads(self.parts) if self.parts else [self.path]
+
 
 def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
@@ -142,8 +153,27 @@ class TableStore:
         own = index.filter(F.col("bucket").isin(touched) & (F.col("batch") != without_batch))
         return own.join(wanted, "key", "left_semi").select("key").distinct()
 
-    def raw(self, dataset: str, before_batch: int | None = None, without_batch: int | None = None) -> DataFrame:
-        """All records of a dataset, or those from before a batch, or those of other batches."""
+    def batches(self) -> dict[str, dict[int, str]]:
+        """The batches of each dataset, with a digest of their files' names: a batch stored again has others."""
+        path, files = self._files()
+        found: dict[str, dict[int, str]] = {}
+        for dataset in DATASETS:
+            top = path(f"{self.root}/raw/{dataset}")
+            found[dataset] = {}
+            for folder in files.listStatus(top) if files.exists(top) else ():
+                names = sorted(f.getPath().getName() for f in files.listStatus(folder.getPath()))
+                number = int(folder.getPath().getName().removeprefix("batch="))
+                found[dataset][number] = hashlib.sha256("/".join(names).encode()).hexdigest()[:16]
+        return found
+
+    def raw(
+        self,
+        dataset: str,
+        before_batch: int | None = None,
+        without_batch: int | None = None,
+        batches: list[int] | None = None,
+    ) -> DataFrame:
+        """All records of a dataset, or those from before a batch, or those of other batches, or of some."""
         schema = T.StructType(raw_schema(dataset).fields)
         schema.add(_ROW, T.LongType()).add("batch", T.LongType())
         try:
@@ -157,6 +187,8 @@ class TableStore:
             rows = rows.filter(F.col("batch") < before_batch)
         if without_batch is not None:
             rows = rows.filter(F.col("batch") != without_batch)
+        if batches is not None:
+            rows = rows.filter(F.col("batch").isin(batches))
         order = F.struct("batch", _ROW).alias(INGEST_SEQ)
         return rows.select(*raw_columns(dataset), order)
 
@@ -270,22 +302,78 @@ class TableStore:
         )
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        self.spark.sql(f"DROP TABLE IF EXISTS {_registered(stored.path)}")
-        writer.saveAsTable(_registered(stored.path))
+        self.spark.sql(f"DROP TABLE IF EXISTS {_registered(stored)}")
+        writer.saveAsTable(_registered(stored))
         return stored
 
-    def _open_buckets(self, stored: Stored) -> DataFrame:
-        """A bucketed table. Only the catalog tells Spark of buckets, so the folder is entered there, as an
-        external table under a name made of its path; no other session needs the entry."""
-        name, (key, number, partition_by) = _registered(stored.path), stored.buckets
+    def add_rows(self, table: str, df: DataFrame, version: int, old: Stored, lookup: str | None = None) -> Stored:
+        """A table with further rows, in a folder of their own; its other folders stay."""
+        own = self.write_table(table, df, version, None, lookup, old.buckets)
+        return self._changed(Stored(own.path, old.schema, old.layout, json.dumps([*old.folders, own.path])))
+
+    def replace_partitions(
+        self,
+        table: str,
+        df: DataFrame,
+        version: int,
+        old: Stored,
+        partition_by: str,
+        values: set,
+        lookup: str | None = None,
+    ) -> Stored:
+        """A partitioned table with the partitions of some values as in ``df``; the others keep their files."""
+        folders = old.folders
+        if isinstance(folders, list):
+            folders = {name: old.path for name in self._partitions(old.path, partition_by)}
+        own = self.write_table(table, df, version, partition_by, lookup, old.buckets)
+        replaced = {f"{partition_by}={NO_VALUE if value is None else value}" for value in values}
+        kept = {name: folder for name, folder in folders.items() if name not in replaced}
+        written = {name: own.path for name in self._partitions(own.path, partition_by)}
+        return self._changed(Stored(own.path, old.schema, old.layout, json.dumps(kept | written, sort_keys=True)))
+
+    def _changed(self, stored: Stored) -> Stored:
+        """A table whose files an earlier attempt may have entered in the catalog."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {_registered(stored)}")
+        return stored
+
+    def _partitions(self, folder: str, column: str) -> list[str]:
+        path, files = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(path(folder))]
+        return sorted(name for name in names if name.startswith(f"{column}="))
+
+    def _open_registered(self, stored: Stored) -> DataFrame:
+        """A table in buckets, or of partitions from several folders. Only the catalog tells Spark of either, so
+        it is entered there, as an external table under a name made of its folders; no other session needs
+        the entry."""
+        name, folders = _registered(stored), stored.folders
         schema = T.StructType.fromJson(json.loads(stored.schema))
         if not self.spark.catalog.tableExists(name):
-            partitions = f"PARTITIONED BY ({partition_by})" if partition_by else ""
+            columns, partition_by = schema.toDDL(), stored.buckets.partition_by if stored.buckets else None
+            if isinstance(folders, dict) and folders:
+                partition_by = next(iter(folders)).split("=")[0]
+            elif len(folders) > 1:
+                # Folders of added rows are partitions by their number.
+                partition_by, columns = ADDED, f"{columns}, {ADDED} INT"
+            layout = f"PARTITIONED BY ({partition_by})" if partition_by else ""
+            if stored.buckets:
+                key, number, _ = stored.buckets
+                layout += f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {number} BUCKETS"
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} ({schema.toDDL()}) USING parquet {partitions} "
-                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {number} BUCKETS LOCATION '{stored.path}'"
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{stored.path}'"
             )
-            if partition_by:
+            if isinstance(folders, dict):
+                places = {name_.split("=")[1]: f"{folder}/{name_}" for name_, folder in folders.items()}
+            else:
+                places = {str(at): folder for at, folder in enumerate(folders)} if len(folders) > 1 else {}
+            if places:
+                self.spark.sql(
+                    f"ALTER TABLE {name} ADD IF NOT EXISTS "
+                    + " ".join(
+                        f"PARTITION ({partition_by}={'NULL' if value == NO_VALUE else repr(value)}) LOCATION '{place}'"
+                        for value, place in places.items()
+                    )
+                )
+            elif partition_by:
                 self.spark.catalog.recoverPartitions(name)
         return self.spark.table(name).select(schema.names)
 
@@ -315,13 +403,14 @@ class TableStore:
         if version is None:
             return {}
         rows = self._manifests().filter(F.col("version") == version).collect()
-        return {row["table"]: Stored(row["path"], row["schema"], row["layout"]) for row in rows}
+        return {row["table"]: Stored(row["path"], row["schema"], row["layout"], row["parts"]) for row in rows}
 
     def open(self, stored: Stored) -> DataFrame:
-        if stored.layout:
-            return self._open_buckets(stored)
+        folders = stored.folders
+        if stored.layout or isinstance(folders, dict):
+            return self._open_registered(stored)
         schema = T.StructType.fromJson(json.loads(stored.schema))
-        return self.spark.read.schema(schema).parquet(stored.path)
+        return self.spark.read.schema(schema).parquet(*folders).select(schema.names)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         tables = self.tables(version)
@@ -334,9 +423,10 @@ def _bucket_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
 
 
-def _registered(path: str) -> str:
-    """Name in the catalog of the table in a folder."""
-    return f"spark_catalog.default.bazaarlake_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+def _registered(stored: Stored) -> str:
+    """Name in the catalog of the table in some folders."""
+    place = f"{stored.path}{stored.parts or ''}"
+    return f"spark_catalog.default.bazaarlake_{hashlib.sha256(place.encode()).hexdigest()[:24]}"
 
 
 def export_csv(df: DataFrame, folder: str) -> None:

@@ -108,7 +108,7 @@ def test_buckets_keep_their_number(spark, store):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     try:
-        build.refresh(store, ["order_reviews"])
+        build.refresh(store, ["order_reviews"], whole=True)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     numbers = {t.buckets.number for t in store.tables().values() if t.buckets}
