@@ -4,8 +4,9 @@ Records arrive as JSON lines ``{"dataset": ..., "data": {column: text}}`` in a
 drop folder. Each micro-batch is split into valid records, which become a raw
 batch, rejects, which are kept with a reason, and orders and items whose parent
 has not come yet. These wait and are judged again with every later batch; then
-everything downstream of the datasets touched is rebuilt. A batch that is run
-again replaces its own records and rebuilds the same tables.
+everything downstream of the datasets touched is refreshed, by month where the
+batch only adds records. A batch that is run again replaces its own records and
+the tables are written anew from all records.
 """
 
 from __future__ import annotations
