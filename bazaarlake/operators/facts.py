@@ -18,6 +18,7 @@ from bazaarlake.functions.casts import MONEY
 from bazaarlake.functions.numeric import SECONDS_PER_DAY, seconds_between, year_month
 from bazaarlake.operators.skew import HotKeys, skew_join
 
+# The published column names of orders and items.
 TIMESTAMPS = [
     "order_purchase_timestamp",
     "order_approved_at",
