@@ -20,6 +20,9 @@ GRAM, STARTS = 16, 288
 LEAD = LENGTH - STARTS + 1
 #: Texts, in bytes, that are worked on at once, and bytes in a bucket of suffixes.
 AT_ONCE, BUCKET = 1_000_000, 24_000_000
+#: Longest distance at which text is held against itself, and bytes of a slice of a long text. Text that repeats itself
+#: within NEAR bytes would have a suffix every few bytes; farther apart they take no more than LENGTH / NEAR + 1 times it.
+NEAR, SLICE = 64, 1_000_000
 
 _rng = np.random.default_rng(20_240_301)
 BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,10 +64,43 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_here[:n], to_here[width - 1 : width - 1 + n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every window of LENGTH bytes its suffix: text, place, first and last window start, hash of the lead."""
+def self_repeats(rolling: Rolling, starts: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray,
+                 chosen: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose windows all occur again a few bytes before, and of every window start whether it is repeated so.
+
+    Where two neighbouring suffixes of a text begin alike within NEAR bytes, each window of the later one is held
+    against the window as far before it. If all are equal, all of them are decided, and the windows before, from
+    which they can be told, stay to be found by others.
+    """
+    place, size = chosen[first], last - first + 1
+    step = np.r_[0, place[1:] - place[:-1]]
+    same = np.r_[False, (text[first][1:] == text[first][:-1]) & (grams[1:] == grams[:-1])]
+    near = np.flatnonzero(same & (step <= NEAR))
+    repeated = np.zeros(len(starts), bool)
+    whole = np.zeros(len(first), bool)
+    if not len(near):
+        return whole, repeated
+    group = np.repeat(np.arange(len(near)), size[near])
+    at = np.arange(len(group)) - np.repeat(np.cumsum(size[near]) - size[near], size[near]) + first[near][group]
+    before = at - step[near][group]
+    # Starts of one text are neighbours, so a start some places before is that many bytes before, or of another text.
+    inside = before >= 0
+    inside[inside] = text[before[inside]] == text[at[inside]]
+    equal = inside.copy()
+    equal[inside] = rolling.at(starts[at[inside]], LENGTH) == rolling.at(starts[before[inside]], LENGTH)
+    repeated[at[equal]] = repeated[before[equal]] = True
+    whole[near] = np.bincount(group[equal], minlength=len(near)) == size[near]
+    return whole, repeated
+
+
+def anchors(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of every window of LENGTH bytes its suffix: text, place, first and last window start, hash of the lead.
+
+    Windows that their own text repeats a few bytes before have none; second, runs of repeated windows that were
+    found so: text, first and last start.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),), tuple(np.zeros(0, np.int64) for _ in range(3))
     if len(data) < LENGTH:
         return none
     ends = np.cumsum([len(t) for t in texts])
@@ -80,37 +116,52 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return none
     first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[first[1:], len(starts)] - 1
-    begin = np.r_[0, ends[:-1]][text[first]]
-    place = chosen[first]
-    return text[first], place - begin, starts[first] - begin, starts[last] - begin, rolling.at(place, LEAD)
-
-
+    begin = np.r_[0, ends[:-1]]
+    whole, repeated = self_repeats(rolling, starts, text, first, last, chosen, ranked[chosen[first]] >> np.uint64(32))
+    new = np.r_[True, (text[1:] != text[:-1])]
+    lo = np.flatnonzero(repeated & (new | ~np.r_[False, repeated[:-1]]))
+    hi = np.flatnonzero(repeated & (np.r_[new[1:], True] | ~np.r_[repeated[1:], False]))
+    known = text[lo], starts[lo] - begin[text[lo]], starts[hi] - begin[text[lo]]
+    first, last = first[~whole], last[~whole]
+    of, place = text[first], chosen[first]
+    return (of, place - begin[of], starts[first] - begin[of], starts[last] - begin[of], rolling.at(place, LEAD)), known
+
+
+#: A suffix, or (lead and place NULL) a run of window starts that its own text repeats.
 ANCHOR = pa.schema(
     [(c, pa.int64()) for c in ("lead", "id", "copy")] + [(c, pa.int32()) for c in ("place", "lo", "hi")]
 )
 
 
 def _anchored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(ids: list[int], copies: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        text, place, lo, hi, lead = anchors(texts)
-        columns = (lead.view(np.int64), np.array(ids, np.int64)[text], np.array(copies, np.int64)[text], place, lo, hi)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ANCHOR)], schema=ANCHOR)
-
-    ids, copies, texts, held = [], [], [], 0
+    def out(ids: list[int], copies: list[int], offsets: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        (text, place, lo, hi, lead), (own, begin, end) = anchors(texts)
+        of = [np.array(column, np.int64) for column in (ids, copies, offsets)]
+        at = of[2][text]
+        none = pa.nulls(len(own), pa.int64())
+        for columns in (
+            (lead.view(np.int64), of[0][text], of[1][text], place + at, lo + at, hi + at),
+            (none, of[0][own], of[1][own], none, begin + of[2][own], end + of[2][own]),
+        ):
+            arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, ANCHOR)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=ANCHOR)
+
+    held: tuple[list, ...] = ([], [], [], [])
+    size = 0
     for part in parts:
         for id_, copy, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
             data = text.as_py().encode()
-            if len(data) < LENGTH:
-                continue
-            ids.append(id_)
-            copies.append(copy)
-            texts.append(data)
-            held += len(data)
-            if held > AT_ONCE:
-                yield out(ids, copies, texts)
-                ids, copies, texts, held = [], [], [], 0
-    if texts:
-        yield out(ids, copies, texts)
+            # Each window of a long text starts in one slice and lies in it.
+            for offset in range(0, len(data) - LENGTH + 1, SLICE):
+                own = data[offset : offset + SLICE + LENGTH - 1]
+                for column, value in zip(held, (id_, copy, offset, own)):
+                    column.append(value)
+                size += len(own)
+                if size > AT_ONCE:
+                    yield from out(*held)
+                    held, size = ([], [], [], []), 0
+    if held[0]:
+        yield from out(*held)
 
 
 SUFFIX = pa.schema(
@@ -281,6 +332,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     around them, to range partitions by lead, document and place, whose splitters are sampled; a bucket
     sorts them by multikey quicksort and compares the windows of each run of equal leads. A very common lead
     lies in many buckets: what the runs at their edges have is grouped once more by the windows' hashes.
+    Text with a period of NEAR bytes at most (rulers, padding, tables) is decided where it is read; of its windows
+    one period goes on, by which other texts find it. Long texts are worked on in slices of SLICE bytes.
 
     Works on UTF-8 bytes of whole texts. NULL text is empty. NULL ids and repeated rows are documents of
     their own, a repeated row repeats its text. An empty table gives none.
@@ -306,8 +359,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     places = scratch.keep(
         rows.mapInArrow(_anchored, "lead long, id long, copy long, place int, lo int, hi int"), "places"
     )
+    own = places.where("lead IS NULL").select("id", "copy", "lo", "hi")
     common = scratch.keep(
-        places.select("lead", F.xxhash64("copy", "place").alias("at"))
+        places.where("lead IS NOT NULL")
+        .select("lead", F.xxhash64("copy", "place").alias("at"))
         .groupBy("lead")
         .agg(F.min("at").alias("a"), F.max("at").alias("b"))
         .where("a != b")
@@ -316,8 +371,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     wanted = scratch.keep(
         places.join(common.hint("merge"), "lead")
+        .select("id", "copy", F.struct("place", "lo", "hi").alias("p"))
+        .unionByName(own.select("id", "copy"), allowMissingColumns=True)
         .groupBy("id", "copy")
-        .agg(F.collect_set(F.struct("place", "lo", "hi")).alias("places"))  # as many as the text is long
+        .agg(F.collect_set("p").alias("places"))  # a suffix every few dozen bytes of the text
         .join(texts.select("id", "copy", "times").hint("merge"), ["id", "copy"]),
         "wanted",
     )
@@ -347,6 +404,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         found.where(F.col("kind") == REPEATED)
         .select("id", "copy", "lo", "hi")
         .unionByName(across)
+        .unionByName(own.select("id", "copy", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))
         .groupBy("id", "copy")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     )

@@ -249,6 +249,29 @@ def test_long_runs_cross_many_edges(spark, scratch):
     assert bag(found.drop("spans").collect()) == bag(brute.repeats(data))
 
 
+def test_texts_that_repeat_themselves(spark, scratch, monkeypatch):
+    """Periods below, at and above the distance that is looked at in place; runs just long enough or too short."""
+    rule = hashlib.sha256(b"rule").hexdigest() * 2
+    data = []
+    for n, period in enumerate([1, 2, 5, 13, 63, 64, 65, 100]):
+        unit = rule[n : n + period]
+        for m, length in enumerate([399, 400, 401, 400 + period - 1, 400 + period, 1500]):
+            run = (unit * 1500)[:length]
+            data += [(20 * n + m, f"<{n} {m}{run}>{m}"), (20 * n + m + 10, run)]
+    data += [(900, "=" * 390 + "\n" + "=" * 450 + "\n" + "=" * 390), (901, ("| --- " * 90 + "\n") * 5), (901, "| --- " * 70)]
+    for length in (suffixes.SLICE, 700):  # the second: texts of several slices
+        monkeypatch.setattr(suffixes, "SLICE", length)
+        found = suffixes.repeated_spans(spark.createDataFrame(data, "doc_id long, text string"), type(scratch)(spark, f"own{length}"))
+        assert bag(found.drop("spans").collect()) == bag(brute.repeats(data))
+
+
+def test_long_text_of_one_character_has_few_suffixes():
+    slices = ["a" * 1_000_000, "| --- " * 160_000]
+    for text in slices:
+        (of, *_), (own, lo, hi) = suffixes.anchors([text.encode()])
+        assert len(of) < 20 and lo.tolist() == [0] and hi.tolist() == [len(text) - suffixes.LENGTH]
+
+
 def test_near_copies_of_copies(spark, scratch):
     """A large group whose members are mostly unlike each other, and chains."""
     random.seed(7)
