@@ -20,9 +20,8 @@ GRAM, STARTS = 16, 288
 LEAD = LENGTH - STARTS + 1
 #: Texts, in bytes, that are worked on at once, and bytes in a bucket of suffixes.
 AT_ONCE, BUCKET = 1_000_000, 24_000_000
-#: Longest distance at which text is held against itself, and bytes of a slice of a long text. Text that repeats itself
-#: within NEAR bytes would have a suffix every few bytes; farther apart they take no more than LENGTH / NEAR + 1 times it.
-NEAR, SLICE = 64, 1_000_000
+#: Bytes of a slice of a long text.
+SLICE = 1_000_000
 
 _rng = np.random.default_rng(20_240_301)
 BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,18 +63,20 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_here[:n], to_here[width - 1 : width - 1 + n])
 
 
-def self_repeats(rolling: Rolling, starts: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray,
-                 chosen: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes whose windows all occur again a few bytes before, and of every window start whether it is repeated so.
+def self_repeats(
+    rolling: Rolling, starts: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, lead: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose windows all occur earlier in their text, and of every window start whether it is repeated so.
 
-    Where two neighbouring suffixes of a text begin alike within NEAR bytes, each window of the later one is held
-    against the window as far before it. If all are equal, all of them are decided, and the windows before, from
-    which they can be told, stay to be found by others.
+    The windows of a suffix are held against those as far from the last suffix before it with the same lead. If all
+    are equal, all of them are decided, and the windows before stay to be found by other texts.
     """
-    place, size = chosen[first], last - first + 1
-    step = np.r_[0, place[1:] - place[:-1]]
-    same = np.r_[False, (text[first][1:] == text[first][:-1]) & (grams[1:] == grams[:-1])]
-    near = np.flatnonzero(same & (step <= NEAR))
+    size, of = last - first + 1, text[first]
+    order = np.lexsort((place, lead, of))
+    same = np.flatnonzero((of[order][1:] == of[order][:-1]) & (lead[order][1:] == lead[order][:-1]))
+    near = order[same + 1]
+    step = np.zeros(len(first), np.int64)
+    step[near] = place[near] - place[order[same]]
     repeated = np.zeros(len(starts), bool)
     whole = np.zeros(len(first), bool)
     if not len(near):
@@ -96,7 +97,7 @@ def self_repeats(rolling: Rolling, starts: np.ndarray, text: np.ndarray, first:
 def anchors(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of every window of LENGTH bytes its suffix: text, place, first and last window start, hash of the lead.
 
-    Windows that their own text repeats a few bytes before have none; second, runs of repeated windows that were
+    Windows that occur earlier in their text may have none; second, runs of repeated windows that were
     found so: text, first and last start.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -117,14 +118,16 @@ def anchors(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarra
     first = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[first[1:], len(starts)] - 1
     begin = np.r_[0, ends[:-1]]
-    whole, repeated = self_repeats(rolling, starts, text, first, last, chosen, ranked[chosen[first]] >> np.uint64(32))
+    place = chosen[first]
+    lead = rolling.at(place, LEAD)
+    whole, repeated = self_repeats(rolling, starts, text, first, last, place, lead)
     new = np.r_[True, (text[1:] != text[:-1])]
     lo = np.flatnonzero(repeated & (new | ~np.r_[False, repeated[:-1]]))
     hi = np.flatnonzero(repeated & (np.r_[new[1:], True] | ~np.r_[repeated[1:], False]))
     known = text[lo], starts[lo] - begin[text[lo]], starts[hi] - begin[text[lo]]
-    first, last = first[~whole], last[~whole]
-    of, place = text[first], chosen[first]
-    return (of, place - begin[of], starts[first] - begin[of], starts[last] - begin[of], rolling.at(place, LEAD)), known
+    first, last, place, lead = (x[~whole] for x in (first, last, place, lead))
+    of = text[first]
+    return (of, place - begin[of], starts[first] - begin[of], starts[last] - begin[of], lead), known
 
 
 #: A suffix, or (lead and place NULL) a run of window starts that its own text repeats.
@@ -332,8 +335,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     around them, to range partitions by lead, document and place, whose splitters are sampled; a bucket
     sorts them by multikey quicksort and compares the windows of each run of equal leads. A very common lead
     lies in many buckets: what the runs at their edges have is grouped once more by the windows' hashes.
-    Text with a period of NEAR bytes at most (rulers, padding, tables) is decided where it is read; of its windows
-    one period goes on, by which other texts find it. Long texts are worked on in slices of SLICE bytes.
+    Text that repeats itself (rulers, padding, tables) would have a suffix every few bytes. It is decided where it is
+    read; its first windows go on, by which other texts find it. Long texts are worked on in slices of SLICE bytes.
 
     Works on UTF-8 bytes of whole texts. NULL text is empty. NULL ids and repeated rows are documents of
     their own, a repeated row repeats its text. An empty table gives none.
