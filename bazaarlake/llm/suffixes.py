@@ -169,6 +169,7 @@ def _anchored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 SUFFIX = pa.schema(
     [("suffix", pa.binary()), ("id", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("context", pa.binary())]
+    + [("at", pa.int32())]
 )
 
 
@@ -183,7 +184,7 @@ def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = text.as_py().encode()
                 for p in places.as_py():
                     context = data[p["lo"] : p["hi"] + LENGTH]
-                    yield data[p["place"] : p["place"] + LEAD], id_, copy, p["lo"], context
+                    yield data[p["place"] : p["place"] + LEAD], id_, copy, p["lo"], context, p["place"] - p["lo"]
 
     yield from batches(rows(), SUFFIX)
 
@@ -206,8 +207,10 @@ def multikey_quicksort(leads: list[bytes]) -> np.ndarray:
     return np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
-#: A run of window starts to remove, or a window of a run at an edge: its hash, and its start if it is alone.
-REPEATED, AT_EDGE = 0, 1
+#: A run of window starts to remove; a window of a run at an edge, with its start if it is alone; or the bytes that
+#: BLOCK neighbouring windows at an edge have in common, with their starts if nothing else in the bucket has them.
+REPEATED, AT_EDGE, CORE = 0, 1, 2
+BLOCK = 16
 FOUND = pa.schema(
     [("kind", pa.int8()), ("hash", pa.int64()), ("again", pa.int64()), ("alone", pa.bool_())]
     + [(c, pa.int64()) for c in ("id", "copy", "lo", "hi")]
@@ -217,14 +220,15 @@ FOUND_DDL = "kind tinyint, hash long, again long, alone boolean, id long, copy l
 
 def _windows(members: list[int], run: np.ndarray, edge: np.ndarray, held: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
     """What the windows of some runs tell. run and edge: of each member its run, and whether it is at an edge."""
-    suffixes, ids, copies, los, contexts = held
+    suffixes, ids, copies, los, contexts, ats = held
     own = [contexts[i] for i in members]
     lengths = np.array([len(c) for c in own])
     sizes = lengths - LENGTH + 1
     which = np.repeat(np.arange(len(own)), sizes)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     data = np.frombuffer(b"".join(own), np.uint8)
-    hashes = Rolling(data).at((np.cumsum(lengths) - lengths)[which] + inner, LENGTH)
+    rolling = Rolling(data)
+    hashes = rolling.at((np.cumsum(lengths) - lengths)[which] + inner, LENGTH)
     _, once, back, counts = np.unique(
         hashes + run[which].astype(np.uint64) * STEP, return_index=True, return_inverse=True, return_counts=True
     )
@@ -247,14 +251,51 @@ def _windows(members: list[int], run: np.ndarray, edge: np.ndarray, held: tuple[
         digest = {
             r: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for r, x in lead.items()
         }
-        once = once[edge[which[once]]]
+        # Equal windows lie alike around their leads, so they are in the same block and have its core in common.
+        at = np.array([ats[i] for i in members], np.int64)
+        near = np.flatnonzero(edge[which])
+        block = (inner[near] - at[which[near]] + STARTS) // BLOCK
+        first = np.flatnonzero(np.r_[True, (which[near][1:] != which[near][:-1]) | (block[1:] != block[:-1])])
+        last = np.r_[first[1:], len(near)] - 1
+        m, block = which[near[first]], block[first]
+        cores = rolling.at((np.cumsum(lengths) - lengths)[m] + at[m] - STARTS + BLOCK * (block + 1) - 1, LENGTH - BLOCK + 1)
+        _, told, same, counts = np.unique(
+            cores + (run[m] * STARTS + block).astype(np.uint64) * STEP, return_index=True, return_inverse=True, return_counts=True
+        )
+        lone = counts[same] == 1
+        again = np.array([digest[r] for r in run[m].tolist()], np.int64)
+        yield batch(CORE, near[first[told]], near[last[told]], cores[told].view(np.int64), again[told], lone[told])
+        shared = np.zeros(len(which), bool)
+        shared[near] = np.repeat(~lone, last - first + 1)
+        once = once[shared[once]]
         again = np.array([digest[r] for r in run[which[once]].tolist()], np.int64)
         yield batch(AT_EDGE, once, once, hashes[once].view(np.int64), again, ~twice[once])
 
 
+TOLD = pa.schema([(c, pa.int64()) for c in ("again", "hash", "id", "copy", "lo")])
+
+
+def _told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of blocks whose core another bucket has too."""
+
+    def rows():
+        for part in parts:
+            for id_, copy, text, blocks in zip(
+                part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)
+            ):
+                data = text.as_py().encode()
+                for b in blocks.as_py():
+                    own = Rolling(np.frombuffer(data[b["lo"] : b["hi"] + LENGTH], np.uint8))
+                    hashes = own.at(np.arange(b["hi"] - b["lo"] + 1), LENGTH).view(np.int64)
+                    for n, h in enumerate(hashes.tolist()):
+                        yield b["again"], h, id_, copy, b["lo"] + n
+
+    yield from batches(rows(), TOLD)
+
+
 def _bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort one bucket's suffixes, and find in each run of equal leads the windows that occur twice."""
-    held: tuple[list, ...] = ([], [], [], [], [])
+    held: tuple[list, ...] = ([], [], [], [], [], [])
     for part in parts:
         for i, column in enumerate(held):
             column += part.column(i).to_pylist()
@@ -334,7 +375,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     have one at the same place. Those whose lead occurs once are left out. The others go, with the bytes
     around them, to range partitions by lead, document and place, whose splitters are sampled; a bucket
     sorts them by multikey quicksort and compares the windows of each run of equal leads. A very common lead
-    lies in many buckets: what the runs at their edges have is grouped once more by the windows' hashes.
+    lies in many buckets: what the runs at their edges have is grouped once more by hashes, first of what
+    16 neighbouring windows have in common, and where several buckets have that, of the windows.
     Text that repeats itself (rulers, padding, tables) would have a suffix every few bytes. It is decided where it is
     read; its first windows go on, by which other texts find it. Long texts are worked on in slices of SLICE bytes.
 
@@ -390,16 +432,33 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     found = scratch.keep(
         suspects.select("id", "copy", "text", "places")
-        .mapInArrow(_contexts, "suffix binary, id long, copy long, lo int, context binary")
+        .mapInArrow(_contexts, "suffix binary, id long, copy long, lo int, context binary, at int")
         .repartitionByRange(buckets, "suffix", "id", "copy", "lo")
         .mapInArrow(_bucket, FOUND_DDL),
         "found",
     )
+    of_more = (
+        found.where(F.col("kind") == CORE)
+        .groupBy("again", "hash")
+        .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("alone"), F.struct("id", "copy", "lo", "hi"))).alias("own"))
+        .where("n > 1")  # a bucket tells a core once, and a window once, so there are as many as buckets at most
+        .select("again", F.explode("own").alias("o"))
+        .groupBy("o.id", "o.copy")
+        .agg(F.collect_list(F.struct("again", "o.lo", "o.hi")).alias("blocks"))
+    )
+    single = (
+        suspects.select("id", "copy", "text")
+        .join(of_more.hint("merge"), ["id", "copy"])
+        .mapInArrow(_told, "again long, hash long, id long, copy long, lo long")
+        .withColumns({"alone": F.lit(True), "hi": F.col("lo")})
+    )
     across = (
         found.where(F.col("kind") == AT_EDGE)
+        .drop("kind")
+        .unionByName(single)
         .groupBy("again", "hash")
         .agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("alone"), F.struct("id", "copy", "lo", "hi"))).alias("own"))
-        .where("n > 1")  # a bucket tells a window once, so there are as many as buckets at most
+        .where("n > 1")
         .select(F.explode("own").alias("o"))
         .select("o.id", "o.copy", "o.lo", "o.hi")
     )
