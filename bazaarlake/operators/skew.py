@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlake.session import shuffle_tasks
+
 # Hash ranges for each half task: an even range has an eighth of one.
 RANGES = 8
 # Row number given at the scan: spreads even exact copies of a row.
@@ -64,7 +66,7 @@ def measure(df: DataFrame, columns: list[str], tasks: int | None = None) -> Skew
     ``tasks`` is the number of shuffle partitions by default. Ranges and keys are counted with partial
     sums; only those above half a task come back, at most two per column and task.
     """
-    halves = 2 * (tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    halves = 2 * (tasks or shuffle_tasks(df.sparkSession))
     ranges = [_range(F.col(name), RANGES * halves) for name in columns]
     counted = (
         df.select(F.posexplode(F.array(*ranges)).alias("_column", "_range"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlake.operators.skew import SkewProfile, measure
 from bazaarlake.plans import audit, features, increment, quality
 from bazaarlake.plans.warehouse import JOIN_COLUMNS, Warehouse
+from bazaarlake.session import shuffle_tasks, size_tasks
 from bazaarlake.sources import files, records
 from bazaarlake.sources.schemas import DATASETS
 from bazaarlake.sources.storage import Buckets, Stored, TableStore, export_csv
@@ -181,9 +182,11 @@ def publish(
     wh = Warehouse(raw=raw, stored=stored_tables(store, fresh), skew=skew)
     tables.pop(SKEW, None)
     # Tables that stay have their number of buckets, so new ones get the same.
-    number = next((t.buckets.number for t in current.values() if t.buckets), None) or min(
-        int(store.spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS
-    )
+    number = next((t.buckets.number for t in current.values() if t.buckets), None)
+    if number is None:
+        # No table has more rows than the lines.
+        size_tasks(raw["order_items"])
+        number = min(shuffle_tasks(store.spark), MOST_BUCKETS)
     for wave in WAVES:
         due = {name for name, needs in wave.items() if stale(name, needs)}
         added = {name for name in due if new.reaches(name, TABLES[name], touched)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.numeric import as_double
 from bazaarlake.operators import dimensions, facts, staging
 from bazaarlake.operators.skew import ROW, HotKeys, SkewProfile, measure, scan_order, skew_join
+from bazaarlake.session import size_tasks
 from bazaarlake.sources.schemas import INGEST_SEQ
 from bazaarlake.sources.tpch import TpchSource
 
@@ -49,10 +50,12 @@ class Warehouse:
     # -- skew ---------------------------------------------------------------
 
     def hot(self, column: str) -> HotKeys:
-        """Hot keys of a join column; each table is measured once, in one pass."""
+        """Hot keys of a join column; each table is measured once, in one pass, after its rows are counted."""
         for table, columns in JOIN_COLUMNS.items():
             if column in columns and column not in self.skew.measured:
-                self.skew = self.skew.merge(measure(self._measurable(table), columns))
+                rows = self._measurable(table)
+                size_tasks(rows)
+                self.skew = self.skew.merge(measure(rows, columns))
         return self.skew[column]
 
     def _measurable(self, table: str) -> DataFrame:
