@@ -71,3 +71,16 @@ def test_new_buckets_follow_the_rows(restored, monkeypatch, tmp_path):
     build.publish(store, TpchSource(restored, FOLDER))
     numbers = {t.buckets.number for t in store.tables().values() if t.buckets}
     assert len(numbers) == 1 and numbers.pop() >= LINES // 400 - 1
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "seller_performance_base",
+        "seller_performance_base_exact",
+        "seller_score_leaderboard",
+        "sales_seller_leaderboard_exact",
+    ],
+)
+def test_lines_of_sellers_get_partitions_by_their_rows(restored, monkeypatch, name):
+    test_lines_get_partitions_by_their_rows(restored, monkeypatch, name)
