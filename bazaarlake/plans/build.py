@@ -60,7 +60,9 @@ MOST_BUCKETS = 100_000  # of Spark
 
 # Manifest entry that holds the skew profile of the version.
 SKEW = "_skew"
-NOTES = {SKEW, increment.BATCHES}
+# Manifest entry that holds the number of lines of the version.
+LINES = "_lines"
+NOTES = {SKEW, LINES, increment.BATCHES}
 
 FIRST_LOAD = "first load"
 
@@ -86,10 +88,12 @@ def stored_tables(store: TableStore, tables: Mapping[str, Stored]) -> dict[str,
 def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
     """The stored warehouse of a version, by default the current one.
 
-    Tables and reports are those of the version, with the skew measured when
-    it was built; raw records are those in the store now.
+    Tables and reports are those of the version, with the skew measured and the
+    lines counted when it was built; raw records are those in the store now.
     """
     tables = store.tables(version)
+    if LINES in tables:
+        size_tasks(store.spark, int(tables[LINES].path))
     stored = {name: (lambda table=table: store.open(table)) for name, table in tables.items() if name not in NOTES}
     skew = SkewProfile.from_json(tables[SKEW].path) if SKEW in tables else None
     return Warehouse(raw=store.all_raw(), stored=stored, skew=skew)
@@ -181,12 +185,17 @@ def publish(
     skew = SkewProfile.from_json(current[SKEW].path) if SKEW in current and touched <= news.keys() else None
     wh = Warehouse(raw=raw, stored=stored_tables(store, fresh), skew=skew)
     tables.pop(SKEW, None)
-    # Tables that stay have their number of buckets, so new ones get the same.
-    number = next((t.buckets.number for t in current.values() if t.buckets), None)
-    if number is None:
-        # No table has more rows than the lines.
-        size_tasks(raw["order_items"])
-        number = min(shuffle_tasks(store.spark), MOST_BUCKETS)
+    # No table has more rows than the lines.
+    lines = raw["order_items"].count()
+    size_tasks(store.spark, lines)
+    # Tables that stay or are added to have their number of buckets, so new ones get the same.
+    staying = [
+        current[name].buckets
+        for name in BUCKETED
+        if name in current and (not stale(name, TABLES[name]) or new.reaches(name, TABLES[name], touched))
+    ]
+    number = next((buckets.number for buckets in staying if buckets), None)
+    number = number or min(shuffle_tasks(store.spark), MOST_BUCKETS)
     for wave in WAVES:
         due = {name for name, needs in wave.items() if stale(name, needs)}
         added = {name for name in due if new.reaches(name, TABLES[name], touched)}
@@ -204,6 +213,7 @@ def publish(
     for columns in JOIN_COLUMNS.values():
         wh.hot(columns[0])
     tables[SKEW] = Stored(wh.skew.to_json(), "")
+    tables[LINES] = Stored(str(lines), "")
     known = {} if batches is None else {d: batches[d] for d in touched}
     # A table that was missing has been made of all batches, so what the others hold is unknown then.
     kept = increment.held(current) if TABLES.keys() <= current.keys() else {}

@@ -54,7 +54,7 @@ class Warehouse:
         for table, columns in JOIN_COLUMNS.items():
             if column in columns and column not in self.skew.measured:
                 rows = self._measurable(table)
-                size_tasks(rows)
+                size_tasks(rows.sparkSession, rows.count())
                 self.skew = self.skew.merge(measure(rows, columns))
         return self.skew[column]
 

@@ -84,3 +84,26 @@ def test_new_buckets_follow_the_rows(restored, monkeypatch, tmp_path):
 )
 def test_lines_of_sellers_get_partitions_by_their_rows(restored, monkeypatch, name):
     test_lines_get_partitions_by_their_rows(restored, monkeypatch, name)
+
+
+def _seller_partitions(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {int(n) for n in re.findall(r"hashpartitioning\(seller_id#\d+, (\d+)\)", plan)}
+
+
+def test_an_opened_store_gets_partitions_by_its_lines(restored, monkeypatch, tmp_path):
+    store = TableStore(restored, f"{tmp_path}/opened")
+    build.publish(store, TpchSource(restored, FOLDER))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    restored.conf.unset(session.FIRST_PARTITIONS)
+    parts = _seller_partitions(entry.jobs()["sales_seller_leaderboard"](build.open_warehouse(store)))
+    assert parts and min(parts) >= LINES // 100 - 2
+
+
+def test_a_whole_build_of_a_grown_store_gets_more_buckets(restored, monkeypatch, tmp_path):
+    store = TableStore(restored, f"{tmp_path}/grown")
+    build.publish(store, TpchSource(restored, FOLDER))
+    monkeypatch.setattr(session, "TASK_ROWS", 400)
+    build.publish(store, TpchSource(restored, FOLDER))
+    numbers = {t.buckets.number for t in store.tables().values() if t.buckets}
+    assert len(numbers) == 1 and numbers.pop() >= LINES // 400 - 1
