@@ -107,3 +107,46 @@ def test_a_whole_build_of_a_grown_store_gets_more_buckets(restored, monkeypatch,
     build.publish(store, TpchSource(restored, FOLDER))
     numbers = {t.buckets.number for t in store.tables().values() if t.buckets}
     assert len(numbers) == 1 and numbers.pop() >= LINES // 400 - 1
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "kpi_bands",
+        "sales_summary",
+        "sales_summary_exact",
+        "seller_scores_exact",
+        "seller_tier_distribution",
+        "seller_detail",
+        "seller_performance_base_exact",
+        "seller_score_leaderboard",
+        "sales_map_exact",
+        "filter_payment_type",
+        "seller_bands",
+        "map_layer",
+    ],
+)
+def test_a_smaller_table_before_leaves_no_few_partitions(more_partitions, monkeypatch, name):
+    # A smaller table left a first number that is below the session's number of partitions, and counts.
+    more_partitions.conf.set(session.FIRST_PARTITIONS, "2")
+    test_lines_get_partitions_by_their_rows(more_partitions, monkeypatch, name)
+
+
+@pytest.fixture
+def more_partitions(restored):
+    given = restored.conf.get(session.PARTITIONS)
+    restored.conf.set(session.PARTITIONS, "200")
+    yield restored
+    restored.conf.set(session.PARTITIONS, given)
+
+
+def test_the_number_that_spark_starts_a_shuffle_with(more_partitions):
+    for first, number in ((None, 200), ("7", 7), ("300", 300)):
+        more_partitions.conf.unset(session.FIRST_PARTITIONS)
+        if first:
+            more_partitions.conf.set(session.FIRST_PARTITIONS, first)
+        plan = more_partitions.range(10).selectExpr("id % 3 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert session.shuffle_tasks(more_partitions) == number == int(re.search(r"hashpartitioning\(k#\d+L?, (\d+)\)", plan)[1])
+    more_partitions.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert session.shuffle_tasks(more_partitions) == 200
+    session.tune(more_partitions)
