@@ -92,11 +92,13 @@ def open_warehouse(store: TableStore, version: int | None = None) -> Warehouse:
     lines counted when it was built; raw records are those in the store now.
     """
     tables = store.tables(version)
-    if LINES in tables:
-        size_tasks(store.spark, int(tables[LINES].path))
     stored = {name: (lambda table=table: store.open(table)) for name, table in tables.items() if name not in NOTES}
     skew = SkewProfile.from_json(tables[SKEW].path) if SKEW in tables else None
-    return Warehouse(raw=store.all_raw(), stored=stored, skew=skew)
+    wh = Warehouse(raw=store.all_raw(), stored=stored, skew=skew)
+    if LINES in tables:
+        wh.counted["stg_order_items"] = store.spark, int(tables[LINES].path)
+        wh.fit_session()
+    return wh
 
 
 def load(

@@ -41,6 +41,8 @@ class Warehouse:
         self.raw = {} if raw is None else raw
         self.stored = dict(stored or {})
         self.skew = skew or SkewProfile()
+        # Rows of the tables counted so far, with the session they are read in.
+        self.counted: dict[str, tuple[SparkSession, int]] = {}
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
@@ -54,10 +56,16 @@ class Warehouse:
         for table, columns in JOIN_COLUMNS.items():
             if column in columns and column not in self.skew.measured:
                 rows = self._measurable(table)
-                size_tasks(rows.sparkSession, rows.count())
+                self.counted[table] = rows.sparkSession, rows.count()
+                self.fit_session()
                 self.skew = self.skew.merge(measure(rows, columns))
         return self.skew[column]
 
+    def fit_session(self) -> None:
+        """Size the session's tasks for the tables counted so far; its settings may have changed since."""
+        for spark, rows in self.counted.values():
+            size_tasks(spark, rows)
+
     def _measurable(self, table: str) -> DataFrame:
         # Categories are measured before they are translated.
         return self.raw["products"] if table == "products" else self.table(table)
@@ -71,6 +79,7 @@ class Warehouse:
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
+        self.fit_session()
         if name not in self._tables:
             if name in self.stored:
                 self._tables[name] = self.stored[name]()

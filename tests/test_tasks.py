@@ -150,3 +150,41 @@ def test_the_number_that_spark_starts_a_shuffle_with(more_partitions):
     more_partitions.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     assert session.shuffle_tasks(more_partitions) == 200
     session.tune(more_partitions)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "sales_summary_exact",
+        "seller_scores_exact",
+        "seller_tier_distribution",
+        "seller_detail",
+        "seller_performance_base_exact",
+        "seller_score_leaderboard",
+        "sales_map_exact",
+        "filter_payment_type",
+        "seller_bands",
+    ],
+)
+def test_settings_put_back_between_queries_leave_no_large_tasks(restored, monkeypatch, name):
+    # The warehouse of the first query is kept, and the second one measures nothing anew.
+    expected = compare.spark_rows(entry.queries()[name](restored, FOLDER))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    for key in (*session.TASK_BYTES, session.FIRST_PARTITIONS):
+        restored.conf.unset(key)
+    df = entry.queries()[name](restored, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    parts = {int(n) for n in re.findall(r"hashpartitioning\((?:order|seller)_id#\d+, (\d+)\)", plan)}
+    assert parts and min(parts) >= LINES // 100 - 2
+    assert all(session._in_bytes(restored.conf.get(key)) <= most for key, most in session.TASK_BYTES.items())
+    assert compare.spark_rows(df) == expected
+
+
+def test_settings_put_back_leave_an_opened_store_its_partitions(restored, monkeypatch, tmp_path):
+    store = TableStore(restored, f"{tmp_path}/put_back")
+    build.publish(store, TpchSource(restored, FOLDER))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    wh = build.open_warehouse(store)
+    restored.conf.unset(session.FIRST_PARTITIONS)
+    parts = _seller_partitions(entry.jobs()["sales_seller_leaderboard"](wh))
+    assert parts and min(parts) >= LINES // 100 - 2
