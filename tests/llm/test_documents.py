@@ -140,6 +140,19 @@ def test_repeats(docs, rows, scratch):
     assert bag(found.drop("spans").collect()) == bag(brute.repeats(rows))
 
 
+def test_text_without_repeats(spark, scratch):
+    """Spans may begin and end inside a character; halves of two characters make no third one."""
+    passage = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(9))
+    # Each pair shares the second byte of a character before the passage and the first byte of one after it.
+    texts = [f"eins \u00e9{passage}\u0101 zwei", f"drei \u0129{passage}\u0117 vier", f"f\u00fcnf{passage}sechs{passage}", "sieben \u0101", passage * 2, None]
+    data = [*enumerate(texts), (7, texts[3]), (7, texts[3]), (None, f"acht{passage[40:]}")]
+    found = suffixes.without_repeats(spark.createDataFrame(data, "doc_id long, text string"), scratch).collect()
+    assert bag(r[:5] for r in found) == bag(brute.repeats(data))
+    assert bag((r.doc_id, r.text) for r in found) == bag(
+        [(0, "eins  zwei"), (1, "drei  vier"), (2, "f\u00fcnfsechs"), (3, texts[3]), (4, ""), (5, ""), (7, texts[3]), (7, texts[3]), (None, "acht")]
+    )
+
+
 def check_packing(pieces, rows, capacity=4096):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     want = Counter()
